@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import exact_dedup, secret_scan
+from maskwell.llm import exact_dedup, packing, secret_scan
 from maskwell.llm.common import documents
 
 
@@ -12,6 +13,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.packing(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = documents(spark, sf_dir), secret_scan.SecretLedger(spark)
     ledger.update(docs)
@@ -19,7 +25,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_secret_scans)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_packing, op4_secret_scans)}
 
 
 def oracle_sql() -> dict:
