@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import exact_dedup, packing, secret_scan, token_counts
+from maskwell.llm import exact_dedup, minhash, packing, secret_scan, token_counts
 from maskwell.llm.common import documents
 
 
@@ -28,8 +28,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(ledger.findings(docs.select("doc_id", "text")))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict:
