@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import exact_dedup, minhash, packing, secret_scan, token_counts
+from maskwell.llm import embedding_dedup, exact_dedup, minhash, packing, secret_scan, token_counts
 from maskwell.llm.common import documents
 
 
@@ -28,13 +28,17 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(ledger.findings(docs.select("doc_id", "text")))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op8_embedding_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_secret_scans": secret_scan.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_secret_scans": secret_scan.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
