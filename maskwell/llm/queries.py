@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import embedding_dedup, exact_dedup, minhash, packing, secret_scan, token_counts, toxicity
+from maskwell.llm import embedding_dedup, exact_dedup, minhash, packing, secret_scan, suffix_dedup, token_counts, toxicity
 from maskwell.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(ledger.findings(docs.select("doc_id", "text")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -41,7 +45,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op6_toxicity, op8_embedding_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op8_embedding_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict:
