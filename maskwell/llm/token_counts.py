@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ _models: dict[str, object] = {}
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit values with their bytes apart: small values leave runs of zeros to compress."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Unsigned 32-bit values, compressed with their bytes apart: small values leave runs of zeros."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def word_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -80,7 +81,7 @@ def split(docs: DataFrame, buckets: int, key: str, text: str) -> DataFrame:
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edge)).tolist():
             x, y = edge[b], edge[b + 1]
-            yield {"block": name, "bucket": b, "words": words[at[x] : at[y]].tobytes(), "lengths": planes(size[x:y])}
+            yield {"block": name, "bucket": b, "words": zstandard.compress(words[at[x] : at[y]].tobytes(), 3), "lengths": planes(size[x:y])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PARTS.split(", ")]
@@ -116,7 +117,7 @@ def piece_counts(parts: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             counts = []
             for words, lengths in zip(batch.column(2), batch.column(3), strict=True):
-                raw, size = words.as_py(), from_planes(lengths.as_py())
+                raw, size = zstandard.decompress(words.as_py()), from_planes(lengths.as_py())
                 at = np.concatenate([[0], np.cumsum(size)]).tolist()
                 own = [raw[a:b] for a, b in zip(at, at[1:])]  # noqa: B905
                 if new := [w for w in own if w not in known]:
