@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import embedding_dedup, exact_dedup, minhash, packing, quality, secret_scan, suffix_dedup, token_counts, toxicity
+from maskwell.llm import embedding_dedup, exact_dedup, minhash, packing, quality, secret_scan, sp_codec, suffix_dedup, token_counts, toxicity
 from maskwell.llm.common import documents
 
 
@@ -36,6 +36,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.summary(sp_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -49,7 +53,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op8_embedding_dedup, op9_quality, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op7_sentencepiece, op8_embedding_dedup, op9_quality, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict:
