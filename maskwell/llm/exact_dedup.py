@@ -31,7 +31,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", salts:
 
     Membership is joined by digest. Texts that differ under one digest would show in the winners (they are
     grouped by whole text); such digests, if there are any, are joined by digest and text instead.
-    Of repeated rows of the winning key itself all are marked kept=true only once: see ``keep_rows``.
+    Repeated rows of the winning key are all marked as kept.
     """
     found = winners(docs, key, text, salts)
     groups = stored(found.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")), "exact-groups")
@@ -51,10 +51,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", salts:
 
 
 def keep_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 32) -> DataFrame:
-    """The documents that stay, with all their columns; repeated rows of one key and text leave one row."""
+    """The documents that stay, with all their columns: of equal texts the largest key's row (all of its rows, if a
+    key is repeated)."""
     kept = exact_dedup(docs, key, text, salts).filter("kept").select(F.col(key).alias("_kept_id")).dropDuplicates()
-    out = docs.join(kept, docs[key].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 ORACLE_SQL = """

@@ -96,20 +96,34 @@ def sequences(docs: DataFrame, size: int = 5, key: str = "doc_id", text: str = "
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("id"), whole_text(text).alias("text")).mapInArrow(run, "id long, seq binary")
 
 
+def idf(df: np.ndarray, total: int) -> np.ndarray:
+    return 1 + np.log(np.maximum(1.0, total / df)) / math.log(max(total, 2))
+
+
+def low_bytes(h: np.ndarray) -> bytes:
+    """48 bits of each hash; the bucket keeps the highest ones."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_low_bytes(raw: bytes, bucket: int = 0) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64((bucket & 0xFFFF) << 48)
+
+
 def dealt(docs: DataFrame, buckets: int, size: int, key: str, text: str) -> DataFrame:
-    """For each block and bucket: seqs, their numbers of documents, entries of each, shingle hashes, term frequencies."""
-    schema = "block long, bucket int, seqs binary, copies binary, entries binary, hashes binary, tfs binary"
+    """For each block and bucket: text numbers, how many documents each text is, its entries, their hashes and term
+    frequencies. One row of a block has the table of its texts' seqs."""
+    schema = "block long, bucket int, table binary, docs binary, copies binary, entries binary, hashes binary, tfs binary"
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
 
     def block(name: int, buf: np.ndarray, off: np.ndarray) -> list[tuple]:
         h, doc, seq = shingles(buf, off, size)
-        _, one, same, copies = np.unique(seq.view("V16").ravel(), return_index=True, return_inverse=True, return_counts=True)
-        keep = np.zeros(len(seq), bool)
-        keep[one] = True
+        _, one, copies = np.unique(seq.view("V16").ravel(), return_index=True, return_counts=True)
         rank = np.full(len(seq), -1)
         rank[one] = np.arange(len(one))
-        on = keep[doc]
+        on = rank[doc] >= 0
         h, doc = h[on], rank[doc[on]]
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
@@ -120,12 +134,12 @@ def dealt(docs: DataFrame, buckets: int, size: int, key: str, text: str) -> Data
         order = np.argsort(bucket, kind="stable")
         h, doc, tf, bucket = h[order], doc[order], tf[order], bucket[order]
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        own, number = seq[one], copies
-        rows = []
+        table, rows = seq[one].tobytes(), []
         for b in np.flatnonzero(np.diff(edge)).tolist():
             x, y = edge[b], edge[b + 1]
             who, entries = np.unique(doc[x:y], return_counts=True)
-            rows.append((name, b, own[who].tobytes(), planes(number[who]), planes(entries), np.ascontiguousarray(h[x:y].view(np.uint8).reshape(-1, 8)).tobytes(), planes(tf[x:y])))
+            rows.append((name, b, table, planes(np.diff(who, prepend=0)), planes(copies[who]), planes(entries), low_bytes(h[x:y]), planes(tf[x:y])))
+            table = None
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,29 +153,26 @@ def dealt(docs: DataFrame, buckets: int, size: int, key: str, text: str) -> Data
     return docs.select(whole_text(text).alias("text")).mapInArrow(run, schema)
 
 
-def weighted(deals: DataFrame, total: int) -> DataFrame:
-    """Each bucket counts df and gives every block back: weight on shingles of one document, and the other shingles with theirs."""
-    ln = math.log(max(total, 2))
+def weighted(deals: DataFrame) -> DataFrame:
+    """Each bucket counts df and gives every block back the entries that other texts have too, and sums of the rest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hs = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
+        hs = [from_low_bytes(x) for x in pdf["hashes"]]
         entries = [from_planes(x) for x in pdf["entries"]]
         copies = [np.repeat(from_planes(c), e) for c, e in zip(pdf["copies"], entries, strict=True)]
         _, inverse = np.unique(np.concatenate(hs), return_inverse=True)
-        df = np.bincount(inverse, np.concatenate(copies))[inverse]
+        dfs = np.bincount(inverse, np.concatenate(copies)).astype(np.int64)[inverse]
         texts = np.bincount(inverse)[inverse]  # entries, each a text of a block
         at, out = 0, []
-        for block, seqs, h, e, tf in zip(pdf["block"], pdf["seqs"], hs, entries, pdf["tfs"], strict=True):
-            own = df[at : at + len(h)]
-            w = from_planes(tf) * (1 + np.log(np.maximum(1.0, total / own)) / ln)
-            shared = texts[at : at + len(h)] > 1
+        for h, e, row in zip(hs, entries, pdf.itertuples(), strict=True):
+            df, shared, tf = dfs[at : at + len(h)], texts[at : at + len(h)] > 1, from_planes(row.tfs)
             at += len(h)
             doc = np.repeat(np.arange(len(e)), e)
-            alone = np.bincount(doc, np.where(shared, 0, w), minlength=len(e))
-            out.append((block, seqs, alone.tobytes(), planes(np.bincount(doc, shared, minlength=len(e))), h[shared].tobytes(), w[shared].tobytes()))
-        return pd.DataFrame(out, columns=["block", "seqs", "alone", "entries", "hashes", "weights"])
+            alone = np.bincount(doc, np.where(shared, 0, tf), minlength=len(e))
+            out.append((row.block, row.bucket, row.table, row.docs, row.copies, planes(alone), planes(np.bincount(doc, shared, minlength=len(e))), low_bytes(h[shared]), planes(tf[shared]), planes(df[shared])))
+        return pd.DataFrame(out, columns=["block", "bucket", "table", "docs", "copies", "alone", "entries", "hashes", "tfs", "dfs"])
 
-    return deals.groupBy("bucket").applyInPandas(run, "block long, seqs binary, alone binary, entries binary, hashes binary, weights binary")
+    return deals.groupBy("bucket").applyInPandas(run, "block long, bucket int, table binary, docs binary, copies binary, alone binary, entries binary, hashes binary, tfs binary, dfs binary")
 
 
 _tables: list[np.ndarray] = []
@@ -201,53 +212,58 @@ def samples(h: np.ndarray, w: np.ndarray, alone: float, seq: bytes, keys: np.nda
     return out
 
 
-def signed(parts: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """Documents that can have a partner: seq, weight, hashes, weights (of shared shingles), band keys."""
+def signed(parts: DataFrame, total: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """Documents that can have a partner: seq, weight, hashes, tfs and dfs (of shared shingles), band keys."""
     keys = textkit.mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seqs = [np.frombuffer(x, "V16") for x in pdf["seqs"]]
-        entries = [from_planes(x) for x in pdf["entries"]]
-        names, doc = np.unique(np.concatenate(seqs), return_inverse=True)
-        alone = np.bincount(doc, np.concatenate([np.frombuffer(x) for x in pdf["alone"]]), minlength=len(names))
-        of = np.repeat(doc, np.concatenate(entries))
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        w = np.concatenate([np.frombuffer(x) for x in pdf["weights"]])
+        names = np.frombuffer(next(x for x in pdf["table"] if x is not None), "V16")
+        of, copies, alone, h, tf, df = [], np.ones(len(names)), np.zeros(len(names)), [], [], []
+        for row in pdf.itertuples():
+            who = np.cumsum(from_planes(row.docs))
+            copies[who] = from_planes(row.copies)
+            alone[who] += from_planes(row.alone)
+            of.append(np.repeat(who, from_planes(row.entries)))
+            h.append(from_low_bytes(row.hashes, row.bucket))
+            tf.append(from_planes(row.tfs))
+            df.append(from_planes(row.dfs))
+        alone *= idf(copies, total)  # what no other text has occurs in as many documents as the text itself
+        of, h, tf, df = (np.concatenate(x) for x in (of, h, tf, df))
+        w = tf * idf(df, total)
         shared = np.bincount(of, w, minlength=len(names))
         order = np.lexsort((h, of))
-        h, w = h[order], w[order]
-        edge = np.searchsorted(of[order], np.arange(len(names) + 1))
+        of, h, w, tf, df = of[order], h[order], w[order], tf[order], df[order]
+        edge = np.searchsorted(of, np.arange(len(names) + 1))
         out = []
-        for k in np.flatnonzero(shared >= threshold * (shared + alone) * (1 - 1e-9)).tolist():
+        for k in np.flatnonzero((shared > 0) & (shared >= threshold * (shared + alone) * (1 - 1e-9))).tolist():
             x, y = edge[k], edge[k + 1]
-            if x == y:
-                continue
             seq = names[k].tobytes()
             drawn = samples(h[x:y], w[x:y], float(alone[k]), seq, keys).reshape(bands, rows)
             band = np.zeros(bands, np.uint64)
             for column in drawn.T:
                 band = textkit.mix(band * np.uint64(31) + column)
-            out.append((seq, float(shared[k] + alone[k]), h[x:y].tobytes(), w[x:y].tobytes(), band.view(np.int64)))
-        return pd.DataFrame(out, columns=["seq", "weight", "hashes", "weights", "bands"])
+            out.append((seq, float(shared[k] + alone[k]), h[x:y].tobytes(), planes(tf[x:y]), planes(df[x:y]), band.view(np.int64)))
+        return pd.DataFrame(out, columns=["seq", "weight", "hashes", "tfs", "dfs", "bands"])
 
-    schema = "seq binary, weight double, hashes binary, weights binary, bands array<long>"
+    schema = "seq binary, weight double, hashes binary, tfs binary, dfs binary, bands array<long>"
     return parts.groupBy("block").applyInPandas(run, schema)
 
 
-def verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, vectors: DataFrame, total: int) -> DataFrame:
     """a, b, similarity for pairs of seqs, by weighted Jaccard similarity of all their shingles."""
-    v = vectors.select("seq", "weight", "hashes", "weights")
+    v = vectors.select("seq", "weight", "hashes", "tfs", "dfs")
     both = pairs
     for side in "ab":
-        both = both.join(v.select(F.col("seq").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("weight", "hashes", "weights")]), side)
+        both = both.join(v.select(F.col("seq").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("weight", "hashes", "tfs", "dfs")]), side)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for ha, hb, wa, wb, ta, tb in zip(pdf["hashes_a"], pdf["hashes_b"], pdf["weights_a"], pdf["weights_b"], pdf["weight_a"], pdf["weight_b"], strict=True):
-                _, i, j = np.intersect1d(np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64), assume_unique=True, return_indices=True)
-                common = np.minimum(np.frombuffer(wa)[i], np.frombuffer(wb)[j]).sum()
-                out.append(common / (ta + tb - common))
+            for x in pdf.itertuples():
+                _, i, j = np.intersect1d(np.frombuffer(x.hashes_a, np.uint64), np.frombuffer(x.hashes_b, np.uint64), assume_unique=True, return_indices=True)
+                # a shingle has one df: the smaller weight is that of the smaller term frequency
+                common = (np.minimum(from_planes(x.tfs_a)[i], from_planes(x.tfs_b)[j]) * idf(from_planes(x.dfs_a)[i], total)).sum()
+                out.append(common / (x.weight_a + x.weight_b - common))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
 
     return both.mapInPandas(run, "a binary, b binary, similarity double")
@@ -257,13 +273,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int =
     """Membership (id, seq) of all documents, and the verified links (a, b, similarity) between seqs."""
     spark = docs.sparkSession
     total = docs.count()
-    deals = dealt(docs, 4 * shuffle_partitions(spark), size, key, text)
-    vectors = stored(signed(weighted(deals, total), threshold, bands, rows).dropDuplicates(["seq"]), "near-vectors")
+    deals = dealt(docs, shuffle_partitions(spark), size, key, text)
+    vectors = stored(signed(weighted(deals), total, threshold, bands, rows).dropDuplicates(["seq"]), "near-vectors")
     keyed = stored(vectors.select("seq", F.posexplode("bands").alias("band", "k")), "near-bands")
     buckets = keyed.groupBy("band", "k").agg(F.min("seq").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     member = stored(keyed.join(buckets, ["band", "k"]), "near-members")
     stars = member.filter("seq <> head").select(F.col("head").alias("a"), F.col("seq").alias("b")).distinct()
-    star = stored(verified(stars, vectors), "near-stars")
+    star = stored(verified(stars, vectors, total), "near-stars")
     links = star.filter(F.col("similarity") >= threshold)
     labels = components(links.select("a", "b"))
     # members of one bucket that are not connected yet, and that their distances to its head don't rule out
@@ -279,7 +295,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int =
     x = rest.select("band", "k", F.col("seq").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"), F.floor(F.col("d") / width).alias("cell"))
     y = rest.select("band", "k", F.col("seq").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.explode(F.sequence(F.floor(F.col("d") / width) - 2, F.floor(F.col("d") / width) + 2)).alias("cell"))
     pairs = x.join(y, ["band", "k", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= gap)).select("a", "b").distinct()
-    more = stored(verified(pairs, vectors), "near-pairs")
+    more = stored(verified(pairs, vectors, total), "near-pairs")
     all_links = links.unionByName(more.filter(F.col("similarity") >= threshold))
     return sequences(docs, size, key, text), all_links
 
@@ -295,3 +311,9 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: in
     of_class = texts.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
     by_seq = stored(texts.join(of_class, "component").select("seq", "class_id", "class_size"), "near-classes")
     return members.join(by_seq, "seq").select(F.col("id").alias(key), "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
+def keep_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class, the one with the smallest key, with all its columns."""
+    kept = near_dedup(docs, threshold, size, key=key, text=text).filter("kept").select(F.col(key).alias("_kept_id")).dropDuplicates()
+    return docs.join(kept, F.coalesce(docs[key], F.lit(-1)) == kept["_kept_id"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op7_sentencepiece, op8_embedding_dedup, op9_quality, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op7_sentencepiece, op8_embedding_dedup, op9_quality, op10_minhash_dedup)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -145,6 +145,22 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text")).mapInArrow(run, "id long, score double").withColumnRenamed("id", key)
 
 
+def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores under the threshold; nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, weights = np.zeros(1 << model.bits, bool), np.zeros(1 << model.bits)
+        wanted[model.cells], weights[model.cells] = True, model.weights
+        for batch in batches:
+            for row, end, buf, off in textkit.slices(lowered(batch.column(at))):
+                doc, cell = cells(buf, off, model.orders, model.bits, wanted)
+                z = np.bincount(doc, weights[cell], minlength=end - row) + model.bias
+                yield batch.slice(row, end - row).filter(pa.array(logistic.sigmoid(z) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:
     """One row per document: key, held_out, score, predicted (1 from a score of 0.5)."""
     model = train(docs, labels, key=key, **parameters)
