@@ -74,8 +74,8 @@ def scan(text: Column, rules: tuple[Rule, ...]) -> Column:
     """The spans of all rules, by the order of the rules and then by position; blank texts have none."""
     if not rules:
         return none(SPAN)
-    found = F.flatten(F.array(*[scan_rule(text, rule) for rule in rules]))
-    return F.when(blank(text), none(SPAN)).otherwise(found)
+    # the text is bound once: as an expression it would be computed again for every rule
+    return bound(text, lambda t: F.when(blank(t), none(SPAN)).otherwise(F.flatten(F.array(*[scan_rule(t, rule) for rule in rules]))))
 
 
 def numbered(spans: Column) -> Column:
