@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +86,16 @@ def found_anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, low int, high int, anchor long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc, raw: texts compressed one by one, for the shuffles and tables that they go through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(x.encode(), 3) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "raw"])
+
+    return docs.mapInArrow(run, "doc long, raw binary")
+
+
 def stretches(candidates: DataFrame, window: int) -> DataFrame:
     """One row for each different stretch of a slice: its id, anchor, bytes, and the places (doc, low) that hold it."""
 
@@ -95,7 +106,7 @@ def stretches(candidates: DataFrame, window: int) -> DataFrame:
             docs: list[list[int]] = []
             lows: list[list[int]] = []
             for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                raw = text.encode()
+                raw = zstandard.decompress(text)
                 for x in found:
                     own = (x["anchor"], raw[x["low"] : x["high"] + window])
                     k = at.setdefault(own, len(docs))
@@ -108,7 +119,7 @@ def stretches(candidates: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(serial, serial + n), pa.int64()),
                 pa.array([k[0] for k in at], pa.int64()),
-                pa.array([k[1] for k in at], pa.binary()),
+                pa.array([zstandard.compress(k[1], 3) for k in at], pa.binary()),
                 pa.array(docs, pa.list_(pa.int64())),
                 pa.array(lows, pa.list_(pa.int32())),
             ], ["stretch", "anchor", "body", "docs", "lows"])
@@ -209,7 +220,7 @@ def by_merging(rows: DataFrame, buckets: int, window: int, symbol: int, shards:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at: dict[bytes, int] = {}
-        of = np.array([at.setdefault(b, len(at)) for b in pdf["body"]])
+        of = np.array([at.setdefault(zstandard.decompress(b), len(at)) for b in pdf["body"]])
         numbers = np.bincount(of, pdf["number"].to_numpy(float))
         masks = repeated_starts(list(at), numbers, window, symbol, shards)
         out = []
@@ -228,7 +239,7 @@ def by_window(rows: DataFrame, buckets: int, window: int) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 2000):
                 part = batch.slice(k, 2000)
-                bodies, number = part.column(1).to_pylist(), part.column(2).to_numpy()
+                bodies, number = [zstandard.decompress(b) for b in part.column(1).to_pylist()], part.column(2).to_numpy()
                 buf = np.frombuffer(b"".join(bodies), np.uint8)
                 size = np.fromiter(map(len, bodies), np.int64, len(bodies))
                 begin = np.cumsum(size) - size
@@ -274,8 +285,8 @@ def cut_out(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, text, starts, ends in zip(pdf["doc"], pdf["text"], pdf["starts"], pdf["ends"], strict=True):
-                raw = text.encode()
+            for doc, text, starts, ends in zip(pdf["doc"], pdf["raw"], pdf["starts"], pdf["ends"], strict=True):
+                raw = zstandard.decompress(text)
                 step = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(step, np.asarray(starts), 1)
                 np.add.at(step, np.asarray(ends), -1)
@@ -295,7 +306,7 @@ def repeats(docs: DataFrame, window: int = 400, symbol: int = 200, hot: int = 10
     found = stored(found_anchors(named.select("doc", "text"), window), "anchors")
     number = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     lists = found.join(number, "anchor", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("found"))
-    texts = stored(named.select("doc", "text").join(lists, "doc").select("doc", "text", "found"), "texts")
+    texts = stored(packed(named.select("doc", "text")).join(lists, "doc").select("doc", "raw", "found"), "texts")
     held = stored(stretches(texts, window), "stretches")
     rows = held.select("stretch", "anchor", "body", F.size("docs").alias("number"))
     heavy = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot-anchors")
@@ -304,7 +315,7 @@ def repeats(docs: DataFrame, window: int = 400, symbol: int = 200, hot: int = 10
     placed = placed.select(F.col("x.docs").alias("doc"), (F.col("x.lows") + F.col("start")).alias("start"), (F.col("x.lows") + F.col("end")).alias("end"))
     of = placed.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     # repeated rows of one key and text are one name: either row's ranges are the other's
-    changed = cut_out(texts.select("doc", "text").dropDuplicates(["doc"]).join(of, "doc"))
+    changed = cut_out(texts.select("doc", "raw").dropDuplicates(["doc"]).join(of, "doc"))
     base = named.select("id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     return base.join(changed, "doc", "left").select(
