@@ -35,9 +35,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ledger = secret_scan.SecretLedger(spark)
     ledger.update(docs)
     found = ledger.findings(docs).withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{secret_scan.SPAN}>")))
-    clean = F.when(F.size("spans") > 0, secret_scan.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    columns = [F.when(F.size("spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else clean.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    clean = found.select(*[secret_scan.redact(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("spans").alias("_n"))
+    return clean.withColumn("n_chars", F.when(F.col("_n") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
