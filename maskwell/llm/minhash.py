@@ -14,7 +14,8 @@ own number. Two texts are linked when their weighted Jaccard similarity is at le
    sample, so all such shingles of a document draw their smallest value at once, from its exact distribution.
 4. Bands that agree make candidates: first every member against one member of its bucket, then members that are
    not connected yet, where the two distances to that member leave the pair a chance (1 - similarity is a
-   metric). Candidates are verified by weighted Jaccard similarity of all shingles.
+   metric) and two bits of every sample agree as often as a similar pair's do (a pair at the threshold fails this
+   once in a billion, far less often than it shares no band). Candidates are verified by weighted Jaccard similarity of all shingles.
 5. Connected components of the verified links are the classes.
 
 Defined results: null and empty texts have no words, and are linked to texts with no words only when equal in
@@ -32,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm import textkit
@@ -212,6 +213,21 @@ def samples(h: np.ndarray, w: np.ndarray, alone: float, seq: bytes, keys: np.nda
     return out
 
 
+def sketch(drawn: np.ndarray) -> np.ndarray:
+    """Two bits of every sample, 32 samples a word; the last word is filled up with zeros."""
+    bits = (drawn.ravel() >> np.uint64(7)) & np.uint64(3)
+    bits = np.concatenate([bits, np.zeros(-len(bits) % 32, np.uint64)]).reshape(-1, 32)
+    return np.bitwise_or.reduce(bits << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
+
+
+def agreeable(a: Column, b: Column, samples_: int, threshold: float) -> Column:
+    """Whether two sketches agree in so many samples as a similar pair does, less six standard deviations."""
+    chance = threshold + (1 - threshold) / 4
+    least = samples_ * chance - 6 * math.sqrt(samples_ * chance * (1 - chance))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555))))
+    return samples_ - differ >= least
+
+
 def signed(parts: DataFrame, total: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """Documents that can have a partner: seq, weight, hashes, tfs and dfs (of shared shingles), band keys."""
     keys = textkit.mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
@@ -242,10 +258,10 @@ def signed(parts: DataFrame, total: int, threshold: float, bands: int, rows: int
             band = np.zeros(bands, np.uint64)
             for column in drawn.T:
                 band = textkit.mix(band * np.uint64(31) + column)
-            out.append((seq, float(shared[k] + alone[k]), h[x:y].tobytes(), planes(tf[x:y]), planes(df[x:y]), band.view(np.int64)))
-        return pd.DataFrame(out, columns=["seq", "weight", "hashes", "tfs", "dfs", "bands"])
+            out.append((seq, float(shared[k] + alone[k]), h[x:y].tobytes(), planes(tf[x:y]), planes(df[x:y]), band.view(np.int64), sketch(drawn)))
+        return pd.DataFrame(out, columns=["seq", "weight", "hashes", "tfs", "dfs", "bands", "sketch"])
 
-    schema = "seq binary, weight double, hashes binary, tfs binary, dfs binary, bands array<long>"
+    schema = "seq binary, weight double, hashes binary, tfs binary, dfs binary, bands array<long>, sketch array<long>"
     return parts.groupBy("block").applyInPandas(run, schema)
 
 
@@ -288,13 +304,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int =
     rest = stored(rest.select("band", "k", "seq", "d", F.coalesce("component", "seq").alias("c")), "near-rest")
     # a bucket of one component has no such pair
     open_ = rest.groupBy("band", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band", "k")
-    rest = rest.join(open_, ["band", "k"], "left_semi")
+    rest = rest.join(open_, ["band", "k"], "left_semi").join(vectors.select("seq", "sketch"), "seq")
     gap = 1 - threshold + 1e-9
     width = gap / 2
     # d is cut into cells of half the gap; partners are at most two cells away, each pair found from its smaller side
-    x = rest.select("band", "k", F.col("seq").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"), F.floor(F.col("d") / width).alias("cell"))
-    y = rest.select("band", "k", F.col("seq").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.explode(F.sequence(F.floor(F.col("d") / width) - 2, F.floor(F.col("d") / width) + 2)).alias("cell"))
-    pairs = x.join(y, ["band", "k", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= gap)).select("a", "b").distinct()
+    x = rest.select("band", "k", F.col("seq").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"), F.floor(F.col("d") / width).alias("cell"), F.col("sketch").alias("sa"))
+    y = rest.select("band", "k", F.col("seq").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.explode(F.sequence(F.floor(F.col("d") / width) - 2, F.floor(F.col("d") / width) + 2)).alias("cell"), F.col("sketch").alias("sb"))
+    pairs = x.join(y, ["band", "k", "cell"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= gap) & agreeable(F.col("sa"), F.col("sb"), bands * rows, threshold)).select("a", "b").distinct()
     more = stored(verified(pairs, vectors, total), "near-pairs")
     all_links = links.unionByName(more.filter(F.col("similarity") >= threshold))
     return sequences(docs, size, key, text), all_links
