@@ -14,7 +14,7 @@ def digits(v: Column) -> Column:
 
 def digit(v: Column, i: int) -> Column:
     """The i-th character, from 0, as a number."""
-    return F.substring(v, i + 1, 1).cast("int")
+    return F.substring(v, i + 1, 1).try_cast("int")
 
 
 def total(terms: list[Column]) -> Column:
@@ -41,7 +41,7 @@ def doubled(d: Column) -> Column:
 
 def luhn_sum(v: Column) -> Column:
     """Luhn sum of a string of digits of any length: every second one from the right counts double."""
-    back = F.transform(F.split(F.reverse(v), ""), lambda x, i: F.when(i % 2 == 1, doubled(x.cast("int"))).otherwise(x.cast("int")))
+    back = F.transform(F.split(F.reverse(v), ""), lambda x, i: F.when(i % 2 == 1, doubled(x.try_cast("int"))).otherwise(x.try_cast("int")))
     return F.aggregate(back, F.lit(0), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
 
 
@@ -52,7 +52,7 @@ def luhn(v: Column) -> Column:
 
 def letter_value(c: Column) -> Column:
     """A digit as it is, A as 10 and on to Z as 35."""
-    return F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
 
 
 def iban(v: Column) -> Column:
@@ -60,11 +60,11 @@ def iban(v: Column) -> Column:
     clean = F.upper(F.regexp_replace(v, r"\s", ""))
     turned = F.concat(F.substring(clean, 5, 34), F.substring(clean, 1, 4))
     step = lambda acc, c: (acc * F.when(c.rlike("[0-9]"), 10).otherwise(100) + letter_value(c)) % 97
-    return sure(F.length(clean).between(5, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(step(acc, c)).cast("int")) == 1))
+    return sure(F.length(clean).between(5, 34) & (F.aggregate(F.split(turned, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(step(acc, c)).try_cast("int")) == 1))
 
 
 def ipv4(v: Column) -> Column:
-    return sure(F.forall(F.split(v, r"\."), lambda x: x.cast("int").between(0, 255)))
+    return sure(F.forall(F.split(v, r"\."), lambda x: x.try_cast("int").between(0, 255)))
 
 
 def gb_nino(v: Column) -> Column:
@@ -108,8 +108,8 @@ def de_steuerid(v: Column) -> Column:
     d = digits(v)
 
     def step(product: Column, x: Column) -> Column:
-        s = (x.cast("int") + product) % 10
-        return (F.when(s == 0, 10).otherwise(s) * 2 % 11).cast("int")
+        s = (x.try_cast("int") + product) % 10
+        return (F.when(s == 0, 10).otherwise(s) * 2 % 11).try_cast("int")
 
     product = F.aggregate(F.slice(F.split(d, ""), 1, 10), F.lit(10), step)
     return sure(F.when(sized(d, 11) & (digit(d, 0) != 0), (11 - product) % 10 == digit(d, 10)).otherwise(False))
@@ -117,8 +117,8 @@ def de_steuerid(v: Column) -> Column:
 
 def fr_nir(v: Column) -> Column:
     d = digits(v)
-    key = 97 - F.substring(d, 1, 13).cast("long") % 97
-    return sure(sized(d, 15) & F.substring(d, 1, 1).isin("1", "2") & (key == F.substring(d, 14, 2).cast("long")))
+    key = 97 - F.substring(d, 1, 13).try_cast("long") % 97
+    return sure(sized(d, 15) & F.substring(d, 1, 1).isin("1", "2") & (key == F.substring(d, 14, 2).try_cast("long")))
 
 
 # The control letters by remainder
@@ -127,12 +127,12 @@ HETU_CHARACTERS = "0123456789ABCDEFHJKLMNPRSTUVWXY"
 
 
 def letter_at(letters: str, i: Column) -> Column:
-    return F.substring(F.lit(letters), i.cast("int") + 1, 1)
+    return F.substring(F.lit(letters), i.try_cast("int") + 1, 1)
 
 
 def es_dni(v: Column) -> Column:
     clean = F.upper(F.regexp_replace(v, r"[\s-]", ""))
-    number = F.expr("0") + F.regexp_replace(clean, ".$", "").cast("long")
+    number = F.regexp_replace(clean, ".$", "").try_cast("long")
     return sure(letter_at(DNI_LETTERS, number % 23) == F.right(clean, F.lit(1)))
 
 
@@ -145,7 +145,7 @@ def pt_nif(v: Column) -> Column:
 def se_personnummer(v: Column) -> Column:
     """Luhn over the last ten characters; a + survives the clean-up, so numbers with one fail."""
     clean = F.regexp_replace(v, r"[\s-]", "")
-    day = F.substring(F.regexp_replace(v, r"[-+]", ""), 5, 2).cast("int")
+    day = F.substring(F.regexp_replace(v, r"[-+]", ""), 5, 2).try_cast("int")
     last = F.right(clean, F.lit(10))
     s = total([doubled(digit(last, i)) if i % 2 == 0 else digit(last, i) for i in range(9)])
     return sure((F.length(clean) >= 10) & (day < 61) & ((10 - s % 10) % 10 == digit(last, 9)))
@@ -153,19 +153,19 @@ def se_personnummer(v: Column) -> Column:
 
 def se_samordningsnummer(v: Column) -> Column:
     d = F.regexp_replace(v, r"[-+]", "")
-    return sure((F.length(d) >= 10) & (F.substring(d, 5, 2).cast("int") >= 61))
+    return sure((F.length(d) >= 10) & (F.substring(d, 5, 2).try_cast("int") >= 61))
 
 
 def no_fodselsnummer(v: Column) -> Column:
     d = digits(v)
     one = (11 - weighted(d, [3, 7, 6, 1, 8, 9, 4, 5, 2]) % 11) % 11
     two = (11 - weighted(d, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) % 11) % 11
-    return sure(sized(d, 11) & (F.substring(d, 1, 2).cast("int") < 41) & (one != 10) & (one == digit(d, 9)) & (two != 10) & (two == digit(d, 10)))
+    return sure(sized(d, 11) & (F.substring(d, 1, 2).try_cast("int") < 41) & (one != 10) & (one == digit(d, 9)) & (two != 10) & (two == digit(d, 10)))
 
 
 def no_d_nummer(v: Column) -> Column:
     d = digits(v)
-    return sure(sized(d, 11) & F.substring(d, 1, 2).cast("int").between(41, 71))
+    return sure(sized(d, 11) & F.substring(d, 1, 2).try_cast("int").between(41, 71))
 
 
 # What letters A to Z count at odd places of a fiscal code; digits count as the letters A to J
@@ -178,8 +178,8 @@ def it_codice_fiscale(v: Column) -> Column:
 
     def value(i: int) -> Column:
         c = F.substring(code, i + 1, 1)
-        n = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 65)
-        return F.try_element_at(odd, (n + 1).cast("int")) if i % 2 == 0 else n
+        n = F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 65)
+        return F.try_element_at(odd, (n + 1).try_cast("int")) if i % 2 == 0 else n
 
     return sure(sized(code, 16) & (F.chr(total([value(i) for i in range(15)]) % 26 + 65) == F.substring(code, 16, 1)))
 
@@ -197,16 +197,16 @@ def nl_bsn(v: Column) -> Column:
 
 def be_national_register(v: Column) -> Column:
     d = F.regexp_replace(v, r"[\s.-]", "")
-    check = F.substring(d, 10, 2).cast("long")
-    before = 97 - F.substring(d, 1, 9).cast("long") % 97
-    since = 97 - F.concat(F.lit("2"), F.substring(d, 1, 9)).cast("long") % 97
+    check = F.substring(d, 10, 2).try_cast("long")
+    before = 97 - F.substring(d, 1, 9).try_cast("long") % 97
+    since = 97 - F.concat(F.lit("2"), F.substring(d, 1, 9)).try_cast("long") % 97
     return sure(d.rlike("^[0-9]{11}$") & ((before == check) | (since == check)))
 
 
 def at_svnr(v: Column) -> Column:
     d = F.regexp_replace(v, r"\s", "")
     s = weighted(d, [3, 7, 9, 0, 5, 8, 4, 2, 1, 6], skip=3) % 11
-    return sure(d.rlike("^[0-9]{10}$") & (F.substring(d, 1, 3).cast("int") >= 100) & (s != 10) & (s == digit(d, 3)))
+    return sure(d.rlike("^[0-9]{10}$") & (F.substring(d, 1, 3).try_cast("int") >= 100) & (s != 10) & (s == digit(d, 3)))
 
 
 def ch_ahv(v: Column) -> Column:
@@ -224,7 +224,7 @@ def ie_pps(v: Column) -> Column:
 
 def fi_hetu(v: Column) -> Column:
     up = F.upper(v)
-    number = F.concat(F.substring(up, 1, 6), F.substring(up, 8, 3)).cast("long")
+    number = F.concat(F.substring(up, 1, 6), F.substring(up, 8, 3)).try_cast("long")
     return sure(letter_at(HETU_CHARACTERS, number % 31) == F.substring(up, 11, 1))
 
 
