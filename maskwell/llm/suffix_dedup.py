@@ -258,25 +258,27 @@ def by_window(rows: DataFrame, buckets: int, window: int) -> DataFrame:
         h, ids, place, number = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("ids", np.int64), ("places", np.int32), ("numbers", np.int32)))
         _, inverse = np.unique(h, return_inverse=True)
         hit = np.bincount(inverse, number)[inverse] > 1
-        ids, place = ids[hit], place[hit].astype(np.int64)
-        return pd.DataFrame({"stretch": ids, "start": place, "end": place + window})
+        ids, place = ids[hit], place[hit]
+        # what was found goes back by stretch, packed: one row for each share of the stretches
+        share = (textkit.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        ids, place, share = ids[order], place[order], share[order]
+        edge = np.searchsorted(share, np.arange(buckets + 1))
+        keep = np.flatnonzero(np.diff(edge)).tolist()
+        cut = lambda x: [np.ascontiguousarray(x[edge[b] : edge[b + 1]]).tobytes() for b in keep]
+        return pd.DataFrame({"share": keep, "ids": cut(ids), "places": cut(place)})
+
+    def ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", np.int64), ("places", np.int32)))
+        order = np.lexsort((place, ids))
+        ids, place = ids[order], place[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (place[1:] != place[:-1] + 1)]))
+        last = np.append(first[1:], len(ids)) - 1
+        return pd.DataFrame({"stretch": ids[first], "start": place[first], "end": place[last] + window})
 
     dealt = rows.select("stretch", "body", "number").mapInArrow(deal, "bucket int, h binary, ids binary, places binary, numbers binary")
-    each = dealt.groupBy("bucket").applyInPandas(count, "stretch long, start long, end long")
-    # windows of one stretch become ranges again
-    joined = each.groupBy("stretch").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for stretch, starts in zip(pdf["stretch"], pdf["starts"], strict=True):
-                x = np.asarray(starts)
-                first = np.flatnonzero(np.diff(x, prepend=-2) != 1)
-                last = np.append(first[1:], len(x)) - 1
-                out.extend((stretch, a, b) for a, b in zip(x[first].tolist(), (x[last] + window).tolist(), strict=True))
-            yield pd.DataFrame(out, columns=["stretch", "start", "end"]).astype("int64")
-
-    return joined.mapInPandas(ranges, "stretch long, start long, end long")
+    found = dealt.groupBy("bucket").applyInPandas(count, "share int, ids binary, places binary")
+    return found.groupBy("share").applyInPandas(ranges, "stretch long, start long, end long")
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
@@ -310,7 +312,7 @@ def repeats(docs: DataFrame, window: int = 400, symbol: int = 200, hot: int = 10
     held = stored(stretches(texts, window), "stretches")
     rows = held.select("stretch", "anchor", "body", F.size("docs").alias("number"))
     heavy = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot-anchors")
-    ranges = by_merging(rows.join(heavy, "anchor", "left_anti"), buckets, window, symbol, shards).unionByName(by_window(rows.join(heavy, "anchor", "left_semi"), buckets, window))
+    ranges = by_merging(rows.join(heavy, "anchor", "left_anti"), buckets, window, symbol, shards).unionByName(by_window(rows.join(heavy, "anchor", "left_semi"), buckets // 4, window))
     placed = ranges.join(held.select("stretch", F.explode(F.arrays_zip("docs", "lows")).alias("x")), "stretch")
     placed = placed.select(F.col("x.docs").alias("doc"), (F.col("x.lows") + F.col("start")).alias("start"), (F.col("x.lows") + F.col("end")).alias("end"))
     of = placed.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
