@@ -29,6 +29,7 @@ from maskwell.llm import logistic, textkit
 from maskwell.llm.common import stored, whole_text
 
 RANGES = 16
+SLICE = 3 << 18  # bytes of text at a time: a slice's n-grams take some 100 times as much
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def count_cells(train: DataFrame, orders: tuple[int, ...], bits: int, least: int
         counts = np.zeros((2, 1 << bits), np.int32)
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, _, buf, off in textkit.slices(lowered(batch.column(1))):
+            for row, _, buf, off in textkit.slices(lowered(batch.column(1)), SLICE):
                 doc, cell = cells(buf, off, orders, bits)
                 for k in (0, 1):
                     counts[k] += np.bincount(cell[y[row + doc] == k], minlength=1 << bits).astype(np.int32)
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000, columns:
         wanted = np.zeros(1 << bits, bool)
         wanted[names] = True
         for batch in batches:
-            for row, end, buf, off in textkit.slices(lowered(batch.column(1))):
+            for row, end, buf, off in textkit.slices(lowered(batch.column(1)), SLICE):
                 doc, cell = cells(buf, off, orders, bits, wanted)
                 edge = np.searchsorted(doc, np.arange(end - row + 1))
                 col = np.searchsorted(names, cell).astype("<u4")
@@ -137,7 +138,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         wanted, weights = np.zeros(1 << model.bits, bool), np.zeros(1 << model.bits)
         wanted[model.cells], weights[model.cells] = True, model.weights
         for batch in batches:
-            for row, end, buf, off in textkit.slices(lowered(batch.column(1))):
+            for row, end, buf, off in textkit.slices(lowered(batch.column(1)), SLICE):
                 doc, cell = cells(buf, off, model.orders, model.bits, wanted)
                 z = np.bincount(doc, weights[cell], minlength=end - row) + model.bias
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(logistic.sigmoid(z))], ["id", "score"])
@@ -153,7 +154,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
         wanted, weights = np.zeros(1 << model.bits, bool), np.zeros(1 << model.bits)
         wanted[model.cells], weights[model.cells] = True, model.weights
         for batch in batches:
-            for row, end, buf, off in textkit.slices(lowered(batch.column(at))):
+            for row, end, buf, off in textkit.slices(lowered(batch.column(at)), SLICE):
                 doc, cell = cells(buf, off, model.orders, model.bits, wanted)
                 z = np.bincount(doc, weights[cell], minlength=end - row) + model.bias
                 yield batch.slice(row, end - row).filter(pa.array(logistic.sigmoid(z) < threshold))
