@@ -203,10 +203,10 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
-# The same by the whole catalogue; RE2 lacks look-around and DuckDB takes too long for so many rules: no oracle, tests by brute force
+# Both passes by the whole catalogue; RE2 lacks look-around and DuckDB takes too long for so many rules: no oracle, tests by brute force
 @query()
 def redact_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.redacted(corpus.detected(spread(texts(spark, sf_dir)), rules.RULES, propagated=False))
+    docs = corpus.redacted(corpus.detected(spread(texts(spark, sf_dir))))
     return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
@@ -245,6 +245,59 @@ def two_pass_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.exploded(corpus.detected(texts(spark, sf_dir), SEVERAL)).drop("idx")
 
 
+# What is found by both passes is numbered, redacted, restored and counted
+_TWICE_NUMBERED = sql.numbered(_TWICE)
+
+
+def two_pass(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"))
+    return corpus.detected(docs, SEVERAL)
+
+
+@query(sql.redacted(DOCS, _TWICE_NUMBERED))
+def two_pass_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.redacted(two_pass(spark, sf_dir))
+    return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
+
+
+@query(sql.redacted(DOCS, _TWICE_NUMBERED, label="'________'"))
+def two_pass_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.redacted(two_pass(spark, sf_dir), mode="blanked")
+    return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
+
+
+@query(dictionary_sql(_TWICE_NUMBERED))
+def two_pass_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.listing(corpus.redacted(two_pass(spark, sf_dir))).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS restored, true AS same FROM documents")
+def two_pass_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.redacted(two_pass(spark, sf_dir))
+    back = corpus.restored(docs.select("doc_id", F.col("redacted").alias("text")), docs)
+    return back.join(texts(spark, sf_dir).withColumnRenamed("text", "original"), "doc_id").select("doc_id", "restored", (F.col("restored") == F.col("original")).alias("same"))
+
+
+@query(f"""
+SELECT d.doc_id, 'See ' || coalesce((SELECT any_value(value) FROM ({_TWICE_NUMBERED}) n WHERE n.doc_id = d.doc_id AND n.n = 1), '<<REDACTED_1>>') || ' and <<REDACTED_999>>.' AS restored
+FROM documents d""")
+def two_pass_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.redacted(two_pass(spark, sf_dir))
+    responses = docs.select("doc_id", F.lit("See <<REDACTED_1>> and <<REDACTED_999>>.").alias("text"))
+    return corpus.restored(responses, docs).select("doc_id", "restored")
+
+
+@query(f"SELECT doc_id, type, count(*) AS n FROM ({_TWICE}) GROUP BY ALL")
+def two_pass_spans_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.exploded(two_pass(spark, sf_dir)).groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT lang, type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_TWICE}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, type)")
+def two_pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = two_pass(spark, sf_dir, "lang").select("doc_id", "lang", F.explode("spans").alias("s")).select("doc_id", "lang", "s.type")
+    return rows.rollup("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query(dictionary_sql(NUMBERED))
 def dictionary_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return several_entries(spark, sf_dir).withColumn("ord", F.col("ord").cast("long"))
