@@ -55,7 +55,9 @@ def budget_chunks(costs: Column, budget: int = SUBTOKENS_PER_CHUNK, overlap: int
     """(first, end) of chunks that are filled to a budget of subtokens; a word over it has a chunk of its own."""
     kind = "array<struct<first:int,end:int>>"
     start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    before = F.transform(F.sequence(F.lit(1), F.greatest(F.size(costs), F.lit(1))), lambda i: F.aggregate(F.slice(costs, 1, i), F.lit(0), lambda a, x: (a + x).cast("int")))
+    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+    add = lambda a, x: F.struct((a["sum"] + x).cast("int").alias("sum"), F.concat(a["sums"], F.array((a["sum"] + x).cast("int"))).alias("sums"))
+    before = F.aggregate(costs, none, add, lambda a: a["sums"])
 
     def run(c: Column) -> Column:
         """c.sums: running sums of the costs. Chunk by chunk: at most one begins at each word."""

@@ -466,6 +466,13 @@ def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("doc_id", F.explode(decode.budget_chunks(costs, 20, 4)).alias("c")).select("doc_id", "c.first", "c.end")
 
 
+# the model's own budget over whole documents; the oracle's join takes the square of a text's words: tested by brute force
+@query()
+def budget_chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    costs = F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))
+    return texts(spark, sf_dir).select("doc_id", F.explode(decode.budget_chunks(costs)).alias("c")).select("doc_id", "c.first", "c.end")
+
+
 # tags of words, from their offsets: B or I of two names, or none
 _TAG = "CASE WHEN s % 5 = 0 THEN 'B-X' WHEN s % 5 IN (1, 2) THEN 'I-X' WHEN s % 5 = 3 THEN 'I-Y' ELSE 'O' END"
 
