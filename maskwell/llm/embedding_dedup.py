@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm.common import stored
-from maskwell.llm.components import components
+from maskwell.llm.components import components, forest
 
 TILE = "tile long, dims int, ids binary, numbers binary, vectors binary"
 
@@ -46,28 +46,6 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(x - back, axis=1)
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-    """Links that connect what all the links connect, fewer than the number of nodes."""
-    root = np.arange(n)
-    kept: tuple[list[int], list[int]] = ([], [])
-    while len(a):
-        x, y = root[a], root[b]
-        on = x != y
-        a, b, x, y = a[on], b[on], x[on], y[on]
-        if not len(a):
-            break
-        high, low = np.maximum(x, y), np.minimum(x, y)
-        # each root hangs under one smaller root that it has a link to
-        order = np.lexsort((low, high))
-        first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
-        kept[0].extend(a[first].tolist())
-        kept[1].extend(b[first].tolist())
-        root[high[first]] = low[first]
-        while (up := root[root] != root).any():
-            root = np.where(up, root[root], root)
-    return kept
-
-
 def compare(left: tuple, right: tuple, same: bool, threshold: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of linked vectors of two tiles (all pairs in order where a tile meets itself)."""
     (x, qx, sx, nx, ex), (y, qy, sy, ny, ey) = left, right
@@ -134,7 +112,8 @@ def links(distinct: DataFrame, threshold: float = 0.9, tile: int = 4096) -> Data
             j = j + len(ids[0])
         count = np.bincount(i, all_numbers[j], len(all_ids)) + np.bincount(j, all_numbers[i], len(all_ids))
         some = np.flatnonzero(count)
-        a, b = forest(i, j, len(all_ids))
+        kept = forest(i, j, len(all_ids))
+        a, b = i[kept], j[kept]
         return pd.concat([
             pd.DataFrame({"a": all_ids[some], "b": pd.array([pd.NA] * len(some), "Int64"), "n": count[some].astype(np.int64)}),
             pd.DataFrame({"a": all_ids[a], "b": pd.array(all_ids[b], "Int64"), "n": np.zeros(len(a), np.int64)}),

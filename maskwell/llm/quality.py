@@ -55,13 +55,13 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     digit = (buf >= 48) & (buf <= 57)
     mark = (buf > 32) & (buf < 127) & ~digit & ~(((buf | 32) >= 97) & ((buf | 32) <= 122))
     double = mark & np.concatenate([[False], mark[:-1]])
-    prefix = textkit.running(buf)
+    hasher = textkit.Hasher(buf)
 
     def shares(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many, how many different, how many like the one before."""
         owned = textkit.owners(off, start)
         doc = np.repeat(np.arange(len(n)), owned)
-        h = textkit.hashes(prefix, start, end)
+        h = hasher.of(start, end)
         order = np.lexsort((h, doc))
         h2, d2 = h[order], doc[order]
         new = np.ones(len(h), bool)

@@ -1,29 +1,38 @@
-"""Removal of long repeated strings: shard Burrows-Wheeler transforms merged by interleave refinement.
+"""Removal of long repeated strings: sorted shards of windows merged by interleave refinement.
 
 A byte goes when a string of ``window`` bytes that covers it also starts anywhere else. Strings are compared as
-sequences of wide symbols: the symbol at a byte is a hash of the next ``symbol`` bytes, and the suffix there goes on
-``symbol`` bytes later, so a string of 400 bytes is two symbols of 200, and an interval of suffixes with a common
-prefix of two symbols is a repeated string.
-
-1. Every window has an anchor, its leftmost smallest 32-gram by hash. Equal windows have equal anchors, so only
-   stretches around anchors that occur twice or more can repeat: the rest of the corpus is done.
-2. The stretches (all windows of one anchor) are dealt by anchor. A task cuts its stretches into shards, sorts each
-   shard's suffixes by a few symbols into a transform, and merges the transforms two by two: the interleave of two
-   transforms starts as one after the other and is refined symbol by symbol through their preceding symbols, never
-   by comparing suffixes. Block borders that a step adds give the length of the common prefix, and the blocks left
-   after window / symbol steps are the repeated intervals.
-3. An anchor with more than ``hot`` different stretches goes window by window instead, by a 64-bit hash of the
-   window, so its windows are dealt evenly however many documents hold the anchor.
-4. Ranges are joined back to the documents that hold a stretch, merged, and cut out.
+sequences of wide symbols: the symbol at a byte is a hash of the next half window, and the suffix there goes on half a
+window later, so a window is two symbols, and an interval of suffixes with a common prefix of two symbols is a
+repeated string.
+
+1. Equal texts go as one, with their number. Every window has an anchor, its leftmost smallest ``GRAM`` bytes by hash.
+   Equal windows have equal anchors, so only stretches around anchors that occur twice or more can repeat: the rest of
+   the corpus is done.
+2. The stretches (all windows of one anchor in a text) are dealt by anchor; an anchor with more than ``slice_rows``
+   different stretches is dealt to as many slices as that takes. A task cuts its stretches into shards and sorts the
+   suffixes of each by two symbols into a transform: the suffixes in order, their first symbols, and the symbols of
+   what follows.
+3. Transforms are merged two by two. The interleave of two transforms starts as one after the other and is refined
+   symbol by symbol: each side keeps its order, and a suffix moves by the number of the other side's suffixes that
+   come before it, so nothing is sorted again. The borders that a step adds are the places where the common prefix
+   ends; what is left in one block after both steps is a repeated interval.
+4. Of anchors in several slices, each slice's transform is cut at ranges of the first symbol, and the parts of a range
+   are merged in the same way by another task, so no task holds all of an anchor that many documents share.
+5. Ranges are joined back to the texts that hold a stretch, merged, and cut out.
+
+Within a task, windows of one interval are compared byte by byte with its first; across slices two 64-bit symbols
+decide. Texts are equal by SHA-256.
 
 Defined results: null text is empty; texts shorter than the window lose nothing to others; repeated rows repeat each
-other; overlapping occurrences in one text count; an empty table gives an empty result; other columns are not read.
+other; overlapping occurrences in one text count; an empty table gives an empty result; null keys stay null; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,7 +45,8 @@ from pyspark.sql import functions as F
 from maskwell.llm import textkit
 from maskwell.llm.common import shuffle_partitions, stored, whole_text
 
-GRAM = 32
+GRAM = 100
+WINDOWS = "range int, firsts binary, seconds binary, ids binary, places binary, numbers binary"
 
 
 def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
@@ -55,12 +65,10 @@ def anchors(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray,
     none = np.zeros(0, np.int64)
     if len(buf) < window:
         return none, none, none, none
-    prefix = textkit.running(buf)
-    _, inverse = textkit.powers(len(prefix))
-    n = len(buf) - GRAM + 1
-    gram = textkit.mix((prefix[GRAM:] - prefix[:n]) * inverse[:n])
+    gram = textkit.Hasher(buf).all_of(min(GRAM, window))
+    n = len(gram)
     bits = np.uint64(max(22, int(len(buf)).bit_length()))
-    least = sliding_least((gram >> bits << bits) | np.arange(n, dtype=np.uint64), window - GRAM + 1)
+    least = sliding_least((gram >> bits << bits) | np.arange(n, dtype=np.uint64), window - min(GRAM, window) + 1)
     at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     size = np.diff(off)
     ok = np.flatnonzero(size >= window)
@@ -83,7 +91,7 @@ def found_anchors(docs: DataFrame, window: int) -> DataFrame:
                 doc, low, high, h = anchors(buf, off, window)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row).take(pa.array(doc)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(h)], ["doc", "low", "high", "anchor"])
 
-    return docs.mapInArrow(run, "doc long, low int, high int, anchor long")
+    return docs.mapInArrow(run, "doc binary, low int, high int, anchor long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -93,19 +101,21 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(x.encode(), 3) for x in batch.column(1).to_pylist()], pa.binary())], ["doc", "raw"])
 
-    return docs.mapInArrow(run, "doc long, raw binary")
+    return docs.mapInArrow(run, "doc binary, raw binary")
 
 
 def stretches(candidates: DataFrame, window: int) -> DataFrame:
-    """One row for each different stretch of a slice: its id, anchor, bytes, and the places (doc, low) that hold it."""
+    """One row for each different stretch of a batch: its id, anchor, bytes, the places (doc, low) that hold it, and
+    their number with all copies of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             at: dict[tuple[int, bytes], int] = {}
-            docs: list[list[int]] = []
+            docs: list[list[bytes]] = []
             lows: list[list[int]] = []
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            number: list[int] = []
+            for doc, text, copies, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = zstandard.decompress(text)
                 for x in found:
                     own = (x["anchor"], raw[x["low"] : x["high"] + window])
@@ -113,101 +123,137 @@ def stretches(candidates: DataFrame, window: int) -> DataFrame:
                     if k == len(docs):
                         docs.append([])
                         lows.append([])
+                        number.append(0)
                     docs[k].append(doc)
                     lows[k].append(x["low"])
+                    number[k] += copies
             n = len(docs)
             yield pa.RecordBatch.from_arrays([
                 pa.array(range(serial, serial + n), pa.int64()),
                 pa.array([k[0] for k in at], pa.int64()),
                 pa.array([zstandard.compress(k[1], 3) for k in at], pa.binary()),
-                pa.array(docs, pa.list_(pa.int64())),
+                pa.array(number, pa.int64()),
+                pa.array(docs, pa.list_(pa.binary())),
                 pa.array(lows, pa.list_(pa.int32())),
-            ], ["stretch", "anchor", "body", "docs", "lows"])
+            ], ["stretch", "anchor", "body", "number", "docs", "lows"])
             serial += n
 
-    return candidates.mapInArrow(run, "stretch long, anchor long, body binary, docs array<long>, lows array<int>")
+    return candidates.mapInArrow(run, "stretch long, anchor long, body binary, number long, docs array<binary>, lows array<int>")
+
+
+def merged_list(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two sorted lists of different values as one, and where the values of each are in it."""
+    at = np.searchsorted(x, y)
+    known = np.zeros(len(y), bool)
+    known[at < len(x)] = x[at[at < len(x)]] == y[at < len(x)]
+    new = y[~known]
+    into_x = np.arange(len(x)) + np.searchsorted(new, x)
+    into_y = np.empty(len(y), np.int64)
+    into_y[~known] = np.arange(len(new)) + at[~known]
+    into_y[known] = into_x[at[known]]
+    out = np.empty(len(x) + len(new), x.dtype)
+    out[into_x], out[into_y] = x, y
+    return out, into_x, into_y
+
+
+def interleave(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the elements of two ordered lists go in their interleave, the first list first among equals; its blocks."""
+    into_x = np.arange(len(x)) + np.searchsorted(y, x, "left")
+    into_y = np.arange(len(y)) + np.searchsorted(x, y, "right")
+    both = np.empty(len(x) + len(y), np.int64)
+    both[into_x], both[into_y] = x, y
+    return into_x, into_y, np.cumsum(np.concatenate([np.zeros(min(1, len(both)), bool), both[1:] != both[:-1]]))
+
+
+@dataclass
+class Transform:
+    """The windows of a shard in the order of their symbols."""
+
+    symbols: np.ndarray  # sorted
+    first: np.ndarray  # the number of each window's first symbol, in order
+    after: np.ndarray  # that of the symbol that follows
+    entry: np.ndarray  # which window
+
+    @classmethod
+    def of(cls, first: np.ndarray, after: np.ndarray, entry: np.ndarray) -> Transform:
+        symbols, number = np.unique(np.concatenate([first, after]), return_inverse=True)
+        first, after = number[: len(first)], number[len(first) :]
+        order = np.argsort(first * len(symbols) + after, kind="stable")
+        return cls(symbols, first[order], after[order], entry[order])
+
+    def merge(self, other: Transform) -> Transform:
+        symbols, mine, theirs = merged_list(self.symbols, other.symbols)
+        first, first_ = mine[self.first], theirs[other.first]
+        after, after_ = mine[self.after], theirs[other.after]
+        # one symbol: blocks of equal first symbols; then each block by what follows
+        x, y, block = interleave(first, first_)
+        x, y, _ = interleave(block[x] * len(symbols) + after, block[y] * len(symbols) + after_)
+        n = len(x) + len(y)
+        out = []
+        for a, b in ((first, first_), (after, after_), (self.entry, other.entry)):
+            both = np.empty(n, np.int64)
+            both[x], both[y] = a, b
+            out.append(both)
+        return Transform(symbols, *out)
+
+    def common(self) -> np.ndarray:
+        """How many symbols each window has in common with the one before it."""
+        out = np.zeros(len(self.first), np.int64)
+        same = self.first[1:] == self.first[:-1]
+        out[1:] = same.astype(np.int64) + (same & (self.after[1:] == self.after[:-1]))
+        return out
+
+    def intervals(self) -> np.ndarray:
+        """The number of each window's interval of windows with both symbols in common."""
+        return np.cumsum(self.common() < 2) - 1
 
 
-class Suffixes:
-    """The suffixes of many strings over wide symbols, and transforms of shards of them.
+def merge_all(parts: list[Transform]) -> Transform:
+    while len(parts) > 1:
+        parts = [parts[k].merge(parts[k + 1]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+    return parts[0]
 
-    A suffix is numbered by its byte in the joined strings; ``rank`` is its first symbol, ``follows`` tells whether
-    another symbol comes after it, and the suffix before it is ``symbol`` bytes to the left.
-    """
 
-    def __init__(self, bodies: list[bytes], symbol: int):
-        self.symbol = symbol
-        self.buf = np.frombuffer(b"".join(bodies), np.uint8)
+class Windows:
+    """The windows of many stretches: where each begins in the joined bytes, and its stretch."""
+
+    def __init__(self, bodies: list[bytes], window: int):
+        self.window, self.buf = window, np.frombuffer(b"".join(bodies), np.uint8)
         size = np.fromiter(map(len, bodies), np.int64, len(bodies))
         self.begin = np.cumsum(size) - size
-        prefix = textkit.running(self.buf)
-        _, inverse = textkit.powers(len(prefix))
-        n = max(0, len(self.buf) - symbol + 1)
-        hashed = textkit.mix((prefix[symbol:] - prefix[:n]) * inverse[:n])
-        self.rank = np.full(len(self.buf), -1, np.int64)
-        self.string = np.repeat(np.arange(len(bodies)), size)
-        place = np.arange(len(self.buf)) - self.begin[self.string]
-        left = size[self.string] - place
-        real = np.flatnonzero(left >= symbol)
-        self.rank[real] = np.unique(hashed[real], return_inverse=True)[1]
-        self.follows = left >= 2 * symbol
-        self.preceded = place >= symbol
-
-    def shard(self, first: int, end: int) -> np.ndarray:
-        """The suffixes of strings first..end, as they stand."""
-        low = self.begin[first]
-        high = self.begin[end] if end < len(self.begin) else len(self.buf)
-        return low + np.flatnonzero(self.rank[low:high] >= 0)
-
-    def refine(self, order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sort suffixes by ``depth`` symbols through the symbols before them; also the blocks of equal prefixes.
-
-        One step takes suffixes in their order so far and deals the ones before them out by their first symbol,
-        stably; suffixes that end within a symbol come first and have a block each.
-        """
-        ends = order[~self.follows[order]]
-        block = np.zeros(len(order), np.int64)
-        for _ in range(depth):
-            on = self.preceded[order]
-            moved = np.concatenate([ends, order[on] - self.symbol])
-            after = np.concatenate([-1 - np.arange(len(ends)), block[on]])
-            deal = np.argsort(self.rank[moved], kind="stable")
-            order, after = moved[deal], after[deal]
-            rank = self.rank[order]
-            border = np.ones(len(order), bool)
-            border[1:] = (rank[1:] != rank[:-1]) | (after[1:] != after[:-1])
-            if _ == 0:  # all that follow are one block yet, whether or not anything follows
-                border[1:] = rank[1:] != rank[:-1]
-            block = np.cumsum(border) - 1
-        return order, block
-
-    def merged(self, shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Transforms of shards, merged two by two until one is left, with its blocks."""
-        sorted_ = [self.refine(x, depth) for x in shards]
-        while len(sorted_) > 1:
-            pairs = [sorted_[k : k + 2] for k in range(0, len(sorted_), 2)]
-            sorted_ = [self.refine(np.concatenate([x[0] for x in p]), depth) if len(p) == 2 else p[0] for p in pairs]
-        return sorted_[0]
-
-
-def repeated_starts(bodies: list[bytes], numbers: np.ndarray, window: int, symbol: int, shards: int) -> list[np.ndarray]:
-    """For each stretch, which of its windows are found at two places at least; numbers: places of each stretch."""
-    s = Suffixes(bodies, symbol)
-    edge = np.linspace(0, len(bodies), min(shards, len(bodies)) + 1).astype(int)
-    order, block = s.merged([s.shard(a, b) for a, b in zip(edge, edge[1:])], window // symbol)  # noqa: B905
-    # the last symbols of a stretch belong to its own windows but begin none of them
-    string = s.string[order]
-    place = order - s.begin[string]
-    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    whole = place <= size[string] - window
-    count = np.bincount(block[whole], numbers[string[whole]], minlength=int(block[-1]) + 1 if len(block) else 0)
-    hit = whole & (count[block] > 1)
-    out = [np.zeros(max(0, n - window + 1), bool) for n in size]
-    flat = np.zeros(len(s.buf), bool)
-    flat[order[hit]] = True
-    for k, mask in enumerate(out):
-        mask[:] = flat[s.begin[k] : s.begin[k] + len(mask)]
-    return out
+        self.number = np.maximum(0, size - window + 1)
+        self.at = textkit.spread(self.begin, self.number)
+        self.stretch = np.repeat(np.arange(len(bodies)), self.number)
+
+    def transforms(self, shards: int) -> list[Transform]:
+        """One transform for each shard of stretches."""
+        half = self.window // 2
+        symbol = textkit.Hasher(self.buf).all_of(half)
+        edge = np.concatenate([[0], np.cumsum(self.number)])[np.linspace(0, len(self.begin), min(shards, len(self.begin)) + 1).astype(int)]
+        return [Transform.of(symbol[self.at[a:b]], symbol[self.at[a:b] + self.window - half], np.arange(a, b)) for a, b in zip(edge, edge[1:])]  # noqa: B905
+
+    def intervals(self, shards: int) -> np.ndarray:
+        """The interval of each window, proved by its bytes."""
+        order = merge_all(self.transforms(shards))
+        out = np.empty(len(self.at), np.int64)
+        out[order.entry] = order.intervals()
+        _, first = np.unique(out, return_index=True)
+        leader = self.at[first][out]
+        # windows in a row whose leaders are in a row are compared as one string
+        move = leader - self.at
+        new = np.ones(len(move), bool)
+        new[1:] = (move[1:] != move[:-1]) | (self.at[1:] != self.at[:-1] + 1)
+        start = np.flatnonzero(new)
+        run = np.diff(np.append(start, len(new)))
+        moved = move[start] != 0
+        start, run = start[moved], run[moved]
+        wrong = ~textkit.same_bytes(self.buf, self.at[start], self.buf, leader[start], run + self.window - 1)
+        if wrong.any():  # unlike windows with like symbols: tell the windows of those runs' intervals apart by bytes
+            raw, own, seen = self.buf.tobytes(), np.isin(out, out[textkit.spread(start[wrong], run[wrong])]), {}
+            fresh = int(out.max()) + 1
+            for k in np.flatnonzero(own).tolist():
+                out[k] = seen.setdefault(raw[self.at[k] : self.at[k] + self.window], fresh + len(seen))
+        return out
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,70 +261,96 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def by_merging(rows: DataFrame, buckets: int, window: int, symbol: int, shards: int) -> DataFrame:
-    """stretch, start, end of repeated ranges, for stretches dealt by anchor."""
+def row_runs(ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last of every run of places in a row with one id; both sorted."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(ids)), bool), (ids[1:] != ids[:-1]) | (place[1:] != place[:-1] + 1)]))
+    return first, np.append(first[1:], len(ids))[: len(first)] - 1
+
+
+def slabs(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Rows of whole anchors and slices, of about ``most`` bytes of compressed bodies at a time."""
+    pdf = pdf.sort_values(["anchor", "slice"], kind="stable")
+    size = pdf["body"].map(len).cumsum().to_numpy() // most
+    new = ((pdf["anchor"].diff() != 0) | (pdf["slice"].diff() != 0)).to_numpy()
+    group = np.maximum.accumulate(np.where(new, size, 0))
+    for _, part in pdf.groupby(group, sort=False):
+        yield part
+
+
+def by_anchor(rows: DataFrame, buckets: int, window: int, shards: int) -> DataFrame:
+    """stretch, start, end of repeated ranges, for anchors of one slice."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at: dict[bytes, int] = {}
-        of = np.array([at.setdefault(zstandard.decompress(b), len(at)) for b in pdf["body"]])
-        numbers = np.bincount(of, pdf["number"].to_numpy(float))
-        masks = repeated_starts(list(at), numbers, window, symbol, shards)
         out = []
-        for stretch, k in zip(pdf["stretch"], of, strict=True):
-            start, end = runs(masks[k])
-            out.extend((stretch, a, b + window - 1) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+        for part in slabs(pdf):
+            at: dict[bytes, int] = {}
+            of = np.array([at.setdefault(zstandard.decompress(b), len(at)) for b in part["body"]])
+            numbers = np.bincount(of, part["number"].to_numpy(float))
+            w = Windows(list(at), window)
+            interval = w.intervals(shards)
+            hit = np.bincount(interval, numbers[w.stretch])[interval] > 1
+            first, last = row_runs(w.stretch[hit], (w.at - w.begin[w.stretch])[hit])
+            stretch, place = w.stretch[hit], (w.at - w.begin[w.stretch])[hit]
+            edge = np.searchsorted(stretch[first], np.arange(len(at) + 1))
+            for name, k in zip(part["stretch"], of, strict=True):
+                mine = slice(edge[k], edge[k + 1])
+                out.extend(zip([name] * (edge[k + 1] - edge[k]), place[first[mine]].tolist(), (place[last[mine]] + window).tolist(), strict=True))
         return pd.DataFrame(out, columns=["stretch", "start", "end"]).astype("int64")
 
-    return rows.withColumn("bucket", F.pmod("anchor", F.lit(buckets))).select("bucket", "stretch", "body", "number").groupBy("bucket").applyInPandas(run, "stretch long, start long, end long")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).withColumn("slice", F.lit(0))
+    return dealt.select("bucket", "anchor", "slice", "stretch", "body", "number").groupBy("bucket").applyInPandas(run, "stretch long, start long, end long")
 
 
-def by_window(rows: DataFrame, buckets: int, window: int) -> DataFrame:
-    """The same for stretches of hot anchors: each window is dealt by its hash."""
+def by_slice(rows: DataFrame, buckets: int, ranges: int, window: int, shards: int) -> DataFrame:
+    """The same for anchors of several slices: the slices' transforms meet by ranges of the first symbol."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                part = batch.slice(k, 2000)
-                bodies, number = [zstandard.decompress(b) for b in part.column(1).to_pylist()], part.column(2).to_numpy()
-                buf = np.frombuffer(b"".join(bodies), np.uint8)
-                size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-                begin = np.cumsum(size) - size
-                start = textkit.spread(begin, size - window + 1)
-                of = np.repeat(np.arange(len(size)), size - window + 1)
-                h = textkit.hashes(textkit.running(buf), start, start + window)
-                order = np.argsort(h, kind="stable")
-                h, of, place = h[order], of[order], (start - begin[of])[order]
-                edge = np.searchsorted(((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.arange(buckets + 1))
-                keep = np.flatnonzero(np.diff(edge)).tolist()
-                ids = part.column(0).to_numpy()
-                cut = lambda x, b: np.ascontiguousarray(x[edge[b] : edge[b + 1]]).tobytes()  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *[pa.array([cut(x, b) for b in keep], pa.binary()) for x in (h, ids[of], place.astype(np.int32), number[of].astype(np.int32))]], ["bucket", "h", "ids", "places", "numbers"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, ids, place, number = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("h", np.uint64), ("ids", np.int64), ("places", np.int32), ("numbers", np.int32)))
-        _, inverse = np.unique(h, return_inverse=True)
-        hit = np.bincount(inverse, number)[inverse] > 1
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part in slabs(pdf):
+            w = Windows([zstandard.decompress(b) for b in part["body"]], window)
+            ids, number = part["stretch"].to_numpy(np.int64), part["number"].to_numpy(np.int64)
+            order = merge_all(w.transforms(shards))
+            first, after = order.symbols[order.first], order.symbols[order.after]
+            of = w.stretch[order.entry]
+            columns = (first, after, ids[of], (w.at - w.begin[w.stretch])[order.entry].astype(np.int32), np.minimum(number[of], 2).astype(np.int8))
+            edge = np.searchsorted((first >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(edge)).tolist():
+                out.append((r, *(np.ascontiguousarray(x[edge[r] : edge[r + 1]]).tobytes() for x in columns)))
+        return pd.DataFrame(out, columns=["range", "firsts", "seconds", "ids", "places", "numbers"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, ids, place, number, at = [], [], [], [], 0
+        for row in pdf.itertuples():
+            first, after = np.frombuffer(row.firsts, np.uint64), np.frombuffer(row.seconds, np.uint64)
+            parts.append(Transform.of(first, after, np.arange(at, at + len(first))))
+            ids.append(np.frombuffer(row.ids, np.int64))
+            place.append(np.frombuffer(row.places, np.int32))
+            number.append(np.frombuffer(row.numbers, np.int8))
+            at += len(first)
+        order = merge_all(parts)
+        ids, place, number = (np.concatenate(x)[order.entry] for x in (ids, place, number))
+        interval = order.intervals()
+        hit = np.bincount(interval, number)[interval] > 1
         ids, place = ids[hit], place[hit]
         # what was found goes back by stretch, packed: one row for each share of the stretches
-        share = (textkit.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        share = (textkit.mix(ids.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
         order = np.argsort(share, kind="stable")
         ids, place, share = ids[order], place[order], share[order]
-        edge = np.searchsorted(share, np.arange(buckets + 1))
+        edge = np.searchsorted(share, np.arange(ranges + 1))
         keep = np.flatnonzero(np.diff(edge)).tolist()
         cut = lambda x: [np.ascontiguousarray(x[edge[b] : edge[b + 1]]).tobytes() for b in keep]
         return pd.DataFrame({"share": keep, "ids": cut(ids), "places": cut(place)})
 
-    def ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, place = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("ids", np.int64), ("places", np.int32)))
         order = np.lexsort((place, ids))
         ids, place = ids[order], place[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (place[1:] != place[:-1] + 1)]))
-        last = np.append(first[1:], len(ids)) - 1
+        first, last = row_runs(ids, place)
         return pd.DataFrame({"stretch": ids[first], "start": place[first], "end": place[last] + window})
 
-    dealt = rows.select("stretch", "body", "number").mapInArrow(deal, "bucket int, h binary, ids binary, places binary, numbers binary")
-    found = dealt.groupBy("bucket").applyInPandas(count, "share int, ids binary, places binary")
-    return found.groupBy("share").applyInPandas(ranges, "stretch long, start long, end long")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("anchor", "slice"), F.lit(buckets)))
+    dealt = dealt.select("bucket", "anchor", "slice", "stretch", "body", "number").groupBy("bucket").applyInPandas(deal, WINDOWS)
+    return dealt.groupBy("range").applyInPandas(meet, "share int, ids binary, places binary").groupBy("share").applyInPandas(back, "stretch long, start long, end long")
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
@@ -298,26 +370,29 @@ def cut_out(texts: DataFrame) -> DataFrame:
                 out.append((doc, int(gone.sum()), len(a), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]))
             yield pd.DataFrame(out, columns=["doc", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return texts.mapInPandas(run, "doc long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return texts.mapInPandas(run, "doc binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
-def repeats(docs: DataFrame, window: int = 400, symbol: int = 200, hot: int = 1000, shards: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, window: int = 400, slice_rows: int = 1000, shards: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
-    named = docs.select(F.col(key).alias("id"), whole_text(text).alias("text")).select("id", "text", F.xxhash64("id", "text").alias("doc"))
+    if window % 2 or window < 16:
+        raise ValueError("a window is two symbols of eight bytes at least")
+    partitions = shuffle_partitions(docs.sparkSession)
+    named = docs.select(F.col(key).alias("id"), whole_text(text).alias("text")).select("id", "text", F.unhex(F.sha2("text", 256)).alias("doc"))
     found = stored(found_anchors(named.select("doc", "text"), window), "anchors")
     number = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     lists = found.join(number, "anchor", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("found"))
-    texts = stored(packed(named.select("doc", "text")).join(lists, "doc").select("doc", "raw", "found"), "texts")
+    own = packed(named.select("doc", "text")).groupBy("doc").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies"))
+    texts = stored(own.join(lists, "doc").select("doc", "raw", "copies", "found"), "texts")
     held = stored(stretches(texts, window), "stretches")
-    rows = held.select("stretch", "anchor", "body", F.size("docs").alias("number"))
-    heavy = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("anchor"), "hot-anchors")
-    ranges = by_merging(rows.join(heavy, "anchor", "left_anti"), buckets, window, symbol, shards).unionByName(by_window(rows.join(heavy, "anchor", "left_semi"), buckets // 4, window))
+    rows = held.select("stretch", "anchor", "body", "number")
+    many = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows).select("anchor", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "many-slices")
+    sliced = rows.join(many, "anchor").withColumn("slice", F.pmod(F.xxhash64("stretch"), F.col("slices")).cast("int"))
+    ranges = by_anchor(rows.join(many, "anchor", "left_anti"), 4 * partitions, window, shards).unionByName(by_slice(sliced, 4 * partitions, partitions, window, shards))
     placed = ranges.join(held.select("stretch", F.explode(F.arrays_zip("docs", "lows")).alias("x")), "stretch")
     placed = placed.select(F.col("x.docs").alias("doc"), (F.col("x.lows") + F.col("start")).alias("start"), (F.col("x.lows") + F.col("end")).alias("end"))
     of = placed.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    # repeated rows of one key and text are one name: either row's ranges are the other's
-    changed = cut_out(texts.select("doc", "raw").dropDuplicates(["doc"]).join(of, "doc"))
+    changed = cut_out(texts.select("doc", "raw").join(of, "doc"))
     base = named.select("id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     return base.join(changed, "doc", "left").select(

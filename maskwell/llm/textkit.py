@@ -7,7 +7,6 @@ its own.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ SLICE_BYTES = 3 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +41,75 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def running(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial in the bytes; element i covers buf[:i]."""
+    """Prefix sums of a polynomial in the bytes; element i covers buf[:i]. For the cells of features, not for identity."""
     out = np.zeros(len(buf) + 1, np.uint64)
     p, _ = powers(len(buf) + 1)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:-1], out=out[1:])
     return out
 
 
-def hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each buf[start:end], the same wherever the bytes stand."""
-    _, inverse = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+class Hasher:
+    """64-bit hashes of stretches of a buffer, the same wherever the bytes stand.
+
+    Every eight bytes in a row are mixed to a value before they are summed as a polynomial, so that no pattern of the
+    bytes cancels out in the sum. Equal hashes are no proof: see distinct().
+    """
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        wide = np.zeros(n + 8, np.uint8)
+        wide[:n] = buf
+        self.words = np.ndarray((n + 1,), "<u8", wide, strides=(1,))
+        p, self.inverse = powers(n + 1)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(self.words[:n].copy()) * p[:n], out=self.prefix[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        whole = (self.prefix[np.maximum(start, end - 7)] - self.prefix[start]) * self.inverse[start]
+        short = self.words[start] & MASKS[np.minimum(size, 8)]
+        return mix(np.where(size >= 8, whole, short ^ SHORT) + size.astype(np.uint64))
+
+    def all_of(self, size: int) -> np.ndarray:
+        """Of every stretch of ``size`` bytes, at least eight."""
+        n = max(0, len(self.prefix) - size)
+        return mix((self.prefix[size - 7 : size - 7 + n] - self.prefix[:n]) * self.inverse[:n] + np.uint64(size))
+
+
+def same_bytes(a: np.ndarray, start: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[start : start + size] equals b[other : other + size], for each."""
+    if not len(size):
+        return np.zeros(0, bool)
+    differ = np.concatenate([[0], np.cumsum(a[spread(start, size)] != b[spread(other, size)])])
+    at = np.concatenate([[0], np.cumsum(size)])
+    return differ[at[1:]] == differ[at[:-1]]
+
+
+def distinct(buf: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different stretches by their bytes, in order of their hashes: hash, number of a stretch, and the number in
+    this list of each. Stretches with one hash are compared with its first; different ones get entries of their own."""
+    keys = Hasher(buf).of(start, end) if keys is None else keys
+    own, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    first = where[inverse]
+    size = end - start
+    equal = size == size[first]
+    again = np.flatnonzero(equal & (first != np.arange(len(first))))
+    equal[again] = same_bytes(buf, start[again], buf, start[first[again]], size[again])
+    odd = np.flatnonzero(~equal)
+    if not len(odd):
+        return own, where, inverse
+    seen: dict[bytes, int] = {}
+    raw, extra = buf.tobytes(), []
+    for k in odd.tolist():
+        n = seen.setdefault(raw[start[k] : end[k]], len(own) + len(extra))
+        if n == len(own) + len(extra):
+            extra.append(k)
+        inverse[k] = n
+    own, where = np.concatenate([own, keys[extra]]), np.concatenate([where, extra])
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return own[order], where[order], rank[inverse]
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,44 +135,53 @@ def owners(off: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(cut)
 
 
-SPACE, LETTER, NUMBER, OTHER, NONE = 0, 1, 2, 3, 9
-# The code points with the Unicode property White_Space.
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_classes: list[np.ndarray] = []
+SPACE, LETTER, NUMBER, OTHER, UNSEEN, NONE = 0, 1, 2, 3, 8, 9
 
 
-def classes() -> np.ndarray:
-    """The class of every code point, in the sense of the pattern of byte_bpe_50k."""
-    if not _classes:
-        kinds = {"L": LETTER, "N": NUMBER}
-        out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        out[WHITE] = SPACE
-        _classes.append(out)
-    return _classes[0]
+class Classes:
+    """The class of every character as a library's splitter has it, asked once for each character that occurs.
 
+    split: the pieces of a text. A character goes on after a letter, a digit or a mark of its own class only.
+    """
 
-def code_classes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The class of the character that begins at each position."""
-    table = classes()
+    def __init__(self, split: Callable[[str], list]):
+        self.split = split
+        self.table = np.full(0x110000, UNSEEN, np.uint8)
+
+    def ask(self, code: int) -> int:
+        kinds = (("a", LETTER), ("1", NUMBER), ("!", OTHER))
+        return next((kind for before, kind in kinds if len(self.split(before + chr(code))) == 1), SPACE)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.table[codes]
+        if (out == UNSEEN).any():
+            for code in np.unique(codes[out == UNSEEN]).tolist():
+                self.table[code] = self.ask(code)
+            out = self.table[codes]
+        return out
+
+
+def codes_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code point of the character that begins at each position."""
     lead = buf[at]
-    out = table[lead]
+    out = lead.astype(np.int32)
     for low, high, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0xFF, 4)):
         k = np.flatnonzero((lead >= low) & (lead < high))
         if len(k):
             p = at[k]
-            code = buf[p].astype(np.int64) & (0xFF >> (size + 1))
+            code = buf[p].astype(np.int32) & (0xFF >> (size + 1))
             for j in range(1, size):
                 code = (code << 6) | (buf[p + j] & 0x3F)
-            out[k] = table[code]
+            out[k] = code
     return out
 
 
-def byte_bpe_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+def byte_bpe_starts(buf: np.ndarray, off: np.ndarray, classes: Classes) -> np.ndarray:
     """Where the pre-tokens of byte_bpe_50k begin: contractions, runs of one class with a space before, white space."""
     at = np.flatnonzero((buf & 0xC0) != 0x80)
     if not len(at):
         return at
-    c = code_classes(buf, at)
+    c = classes.of(codes_at(buf, at))
     space = buf[at] == 32
     first = np.zeros(len(at) + 1, bool)
     first[np.searchsorted(at, off[:-1][np.diff(off) > 0])] = True
@@ -144,37 +212,56 @@ def byte_bpe_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of distinct pre-tokens, by hash; each is encoded once until the cache is full and begins anew."""
+    """Ids of distinct pre-tokens; each is encoded once until the cache holds ``most`` bytes and begins anew.
+
+    A pre-token is found by its hash and then compared with the bytes that are kept; one that differs is encoded
+    for the slice alone.
+    """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 24 << 20):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.at, self.sizes, self.raw_at, self.raw_sizes = (np.zeros(0, np.int64) for _ in range(4))
         self.ids = np.zeros(0, np.uint32)
+        self.raw = np.zeros(0, np.uint8)
+
+    def held(self) -> int:
+        return 40 * len(self.keys) + 4 * len(self.ids) + len(self.raw)
 
     def look_up(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each pre-token, where its ids are in self.ids and how many."""
-        keys, where, inverse = np.unique(hashes(running(buf), start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        """For each pre-token, where its ids are in self.ids and how many; good until the next call."""
+        keys, where, inverse = distinct(buf, start, end)
+        if self.held() > self.most:
             self.clear()
+        size = (end - start)[where]
         k = np.searchsorted(self.keys, keys)
-        miss = (k == len(self.keys)) | (self.keys[np.minimum(k, max(0, len(self.keys) - 1))] != keys) if len(self.keys) else np.ones(len(keys), bool)
-        if miss.any():
+        found = np.zeros(len(keys), bool)
+        if len(self.keys):
+            near = np.minimum(k, len(self.keys) - 1)
+            may = np.flatnonzero((self.keys[near] == keys) & (self.raw_sizes[near] == size))
+            found[may] = same_bytes(buf, start[where[may]], self.raw, self.raw_at[near[may]], size[may])
+        at, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[found], sizes[found] = self.at[k[found]], self.sizes[k[found]]
+        miss = np.flatnonzero(~found)
+        if len(miss):
             raw, encode = buf.tobytes(), self.encode
             w = where[miss]
             new = [encode(raw[a:b]) for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)]
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            at = len(self.ids) + np.cumsum(sizes) - sizes
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(sizes.sum()))])
-            into = k[miss]
-            self.keys, self.at, self.sizes = np.insert(self.keys, into, keys[miss]), np.insert(self.at, into, at), np.insert(self.sizes, into, sizes)
-            k = np.searchsorted(self.keys, keys)
-        k = k[inverse]
-        return self.at[k], self.sizes[k]
+            sizes[miss] = np.fromiter(map(len, new), np.int64, len(new))
+            at[miss] = len(self.ids) + np.cumsum(sizes[miss]) - sizes[miss]
+            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(sizes[miss].sum()))])
+            # the first of a hash is kept for later slices
+            first = miss[np.concatenate([[True], keys[miss][1:] != keys[miss][:-1]])]
+            first = first[(k[first] == len(self.keys)) | (self.keys[np.minimum(k[first], len(self.keys) - 1)] != keys[first])] if len(self.keys) else first
+            into, w = k[first], where[first]
+            raw_at = len(self.raw) + np.cumsum(size[first]) - size[first]
+            self.raw = np.concatenate([self.raw, buf[spread(start[w], size[first])]])
+            for name, values in (("keys", keys[first]), ("at", at[first]), ("sizes", sizes[first]), ("raw_at", raw_at), ("raw_sizes", size[first])):
+                setattr(self, name, np.insert(getattr(self, name), into, values))
+        return at[inverse], sizes[inverse]
 
 
 def spread(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ def near_rows(seed=3):
             for _ in range(rng.randint(0, max(1, len(own) // 30))):
                 own[rng.randrange(len(own))] = word(rng)
             rows.append(" ".join(own))
-    return [*enumerate(rows), (900, None), (901, ""), (902, "..."), (903, rows[0]), (904, rows[0].upper())]
+    return [*enumerate(rows), (900, None), (901, ""), (902, "..."), (905, "| |"), (906, "..."), (903, rows[0]), (904, rows[0].upper())]
 
 
 def brute(rows, threshold=0.8):
@@ -34,8 +34,8 @@ def brute(rows, threshold=0.8):
         w = re.findall(r"[0-9a-z_]+", (t or "").lower())
         grams[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
     df = collections.Counter(g for c in grams.values() for g in c)
-    weight = {i: {g: n * (1 + math.log(len(rows) / df[g]) / math.log(len(rows))) for g, n in c.items()} for i, c in grams.items()}
-    root = {i: i for i in grams}
+    weight = {i: {g: n * (1 + math.log(len(rows) / df[g]) / math.log(len(rows)) / 4) for g, n in c.items()} for i, c in grams.items()}
+    root, texts = {i: i for i in grams}, {i: t or "" for i, t in rows}
 
     def find(x):
         while root[x] != x:
@@ -47,7 +47,7 @@ def brute(rows, threshold=0.8):
         for j in ids[k + 1 :]:
             common = sum(min(v, weight[j][g]) for g, v in weight[i].items() if g in weight[j])
             total = sum(weight[i].values()) + sum(weight[j].values()) - common
-            if (not grams[i] and not grams[j]) or (total and common / total >= threshold):
+            if (not grams[i] and not grams[j] and texts[i] == texts[j]) or (total and common / total >= threshold - 1e-9):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: find(i) for i in ids}
@@ -60,6 +60,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_a_crowded_group_against_brute_force(spark, tile):
+    """Variants of one text about the threshold apart: many buckets whose members their heads don't connect."""
+    rng = random.Random(9)
+    base, rows = [word(rng) for _ in range(120)], []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = word(rng)
+        rows.append((i, " ".join(own * (1 + (i % 10 == 0)))))
+    rows += near_rows()[:100:3]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute(rows)
+
+
+def test_near_duplicates_of_thue_morse_words_and_null_keys(spark):
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (None, a), (None, "only here, twice and more"), (None, "only here twice and more")]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in got) == {(1, 1, 2, True): 1, (2, 2, 1, True): 1, (None, 1, 2, False): 1, (None, None, 2, True): 2}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

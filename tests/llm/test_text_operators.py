@@ -16,10 +16,16 @@ PARTS = ["a", "the", "ing", " ", "  ", "é", "▁", "\n", "中文", "😀", "tio
 SCHEMA = "doc_id long, text string, extra string, id string, n int"
 
 
+def thue_morse(n=1024):
+    """Two texts that a polynomial modulo a power of two can't tell apart."""
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 def texts(n=300, seed=1):
     rng = random.Random(seed)
     rows = [(i, "".join(rng.choices(PARTS, k=rng.randint(0, 30)))) for i in range(n)]
-    return rows + [(9000, None), (9001, ""), (9002, " "), (9003, "a "), (9004, "the " * 3000), (9005, "x" * 5000)]
+    return rows + [(9000, None), (9001, ""), (9002, " "), (9003, "a "), (9004, "the " * 3000), (9005, "x" * 5000), *zip((9006, 9007), thue_morse(), strict=True)]
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +40,36 @@ def test_token_counts_are_the_library_s(docs):
     assert got == want
 
 
+def test_equal_hashes_are_compared_by_their_bytes():
+    import numpy as np
+
+    from maskwell.llm import textkit
+
+    buf = np.frombuffer(b"aa bb aa cc", np.uint8)
+    start, end = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    _, where, code = textkit.distinct(buf, start, end, np.zeros(4, np.uint64))
+    assert len(where) == 3 and code[0] == code[2] and len({*code[[0, 1, 3]].tolist()}) == 3
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse())
+    whole = np.array([0]), np.array([1024])
+    assert textkit.Hasher(a).of(*whole) != textkit.Hasher(b).of(*whole)
+
+
+def test_null_keys_stay_null(spark):
+    docs = spark.createDataFrame([(None, "a b"), (0, "c")], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(docs, MODEL).collect()} == {(None, 2), (0, 1)}
+
+
+def test_splits_are_the_library_s_for_every_character():
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(JSON)
+    step = 7  # every seventh character of the code space; all of them take half a minute
+    codes = [c for c in range(0, 0x110000, step) if not 0xD800 <= c < 0xE000] + [0x1C89, 0x11BE9, *range(0x13581, 0x13E48, 50)]
+    own = ["".join(map(chr, codes[k : k + 40])) for k in range(0, len(codes), 40)]
+    for t, ids in zip(own, packing.tokenise(pa.array(own), JSON, RANKS, 1), strict=True):
+        assert library.encode(t, add_special_tokens=False).ids == ids[:-1].tolist()
+
+
 def test_token_counts_of_an_empty_table(docs):
     assert token_counts.token_counts(docs.limit(0), MODEL).count() == 0
 
@@ -108,6 +144,31 @@ def test_secrets_and_ledger(spark):
     assert newer.rows().count() == 4
 
 
+def test_merged_transforms_are_what_sorting_gives():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    first, after = rng.integers(0, 9, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64)
+    edge = [0, 100, 101, 350, 500]
+    parts = [suffix_dedup.Transform.of(first[a:b], after[a:b], np.arange(a, b)) for a, b in zip(edge, edge[1:])]  # noqa: B905
+    merged, direct = suffix_dedup.merge_all(parts), suffix_dedup.Transform.of(first, after, np.arange(500))
+    for name in ("symbols", "first", "after", "entry"):
+        assert (getattr(merged, name) == getattr(direct, name)).all()
+    assert (merged.common()[1:] == (first[merged.entry][1:] == first[merged.entry][:-1]) * (1 + (after[merged.entry][1:] == after[merged.entry][:-1]))).all()
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup.textkit.Hasher, "all_of", lambda self, size: np.zeros(len(self.prefix) - size, np.uint64))
+    bodies = [b"0123456789abcdefgh", b"x0123456789abcdefg", b"y" * 20]
+    own = suffix_dedup.Windows(bodies, 16)
+    interval = own.intervals(2)
+    raw = b"".join(bodies)
+    text = [raw[k : k + 16] for k in own.at.tolist()]
+    assert all((interval[i] == interval[j]) == (text[i] == text[j]) for i in range(len(text)) for j in range(len(text)))
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(5)
     passages = ["".join(rng.choices("abé d", k=n)) for n in (40, 55, 120)]
@@ -130,8 +191,8 @@ def test_repeats_against_brute_force(spark):
         spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i].append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (2, 1000):
+    for slice_rows in (2, 1000):
         got = collections.defaultdict(list)
-        for r in suffix_dedup.repeats(df, window=40, symbol=20, hot=hot).collect():
+        for r in suffix_dedup.repeats(df, window=40, slice_rows=slice_rows).collect():
             got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
         assert got == want
