@@ -8,23 +8,29 @@ its only path worth more than minus infinity; scores add along paths and the lar
 
 A text of more than ``chunk`` characters is cut anywhere. The state at a cut is the piece that holds the character
 before it, with how far it begins before and ends after the cut. Each chunk by itself yields a transfer matrix
-from the states at its left cut to those at its right cut (all rows in one sweep), the matrices are combined
-associatively along a text, which leaves one state for each cut, and every chunk is then traced back by itself
-between its two states. Pieces don't go on from a word into the next space, so between words the lattice has one state
-and each distinct word is solved once a worker.
+from the states at its left cut to those at its right cut (all rows in one sweep). The matrices are combined
+associatively in a tree: every level joins up to ``FAN`` neighbours, by Spark groups of (text, node), so a text of any
+number of chunks takes as many levels as the logarithm says and no task holds all of its chunks. At the root both ends
+are known; going down, each node's states at its inner cuts follow from those at its two ends, which leaves one state
+for each cut, and every chunk is then traced back by itself between its two states.
+
+Pieces don't go on from a word into the next space, so between words the lattice has one state. Each distinct word is
+solved once a worker, as long as the cache of bounded size holds it: words of up to 40 characters by merging pairs, all
+words of a slice at a time, and longer ones by walking the lattice, which takes linear time.
 
 Ids are those of the library; decoding gives the text back (a literal U+2581 as a space, as in the library).
 
 Defined results: null and empty texts have one chunk without ids; repeated rows are encoded each (a text of several
-chunks is named by its key and text); an empty table gives an empty result; other columns are not read.
+chunks is named by its key and text); an empty table gives an empty result; null keys stay
+null; other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +43,9 @@ from maskwell.llm.common import shuffle_partitions, stored, whole_text
 from maskwell.llm.token_counts import word_starts
 
 MARK = "▁"
+FAN = 16
+SHORT = 40  # characters
+JOINS = 100_000
 _codecs: dict[str, Codec] = {}
 State = tuple[int, int]  # characters of the piece before the cut, and after it
 
@@ -61,7 +70,19 @@ class Codec:
         self.at = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.joins: dict[tuple[str | None, str], bool] = {}
-        self.words = textkit.PieceCache(self.word)
+        self.words = textkit.PieceCache(self.encode_words)
+        # symbols are the characters of pieces and the pieces; merges are the pairs of symbols that make a piece
+        chars = sorted({c for piece in self.ids for c in piece})
+        self.chars = np.array([ord(c) for c in chars], np.int64)
+        self.symbols = chars + [p for p in self.ids if len(p) > 1]
+        number = {x: k for k, x in enumerate(self.symbols)}
+        best = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        merges = sorted((number[p[:k]] * (len(number) + 1) + number[p[k:]], best[s], number[p]) for p, s in self.score.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pairs, self.ranks, self.makes = (np.array(x, np.int64) for x in zip(*merges, strict=True))
+        flat = [self.piece_ids(x) for x in self.symbols]
+        self.symbol_sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.symbol_at = np.cumsum(self.symbol_sizes) - self.symbol_sizes
+        self.symbol_ids = np.array([i for x in flat for i in x], np.int64)
 
     def merge(self, text: str) -> list[str]:
         """Merge the pair with the best score, the leftmost of equals, until no pair is a piece."""
@@ -85,7 +106,7 @@ class Codec:
                 known = self.joined(None, t)
             else:
                 known = self.merge(t) == [t] if s is None else self.merge(s + t) == [s, t]
-            if len(self.joins) > 2_000_000:
+            if len(self.joins) > JOINS:
                 self.joins.clear()
             self.joins[key] = known
         return known
@@ -94,9 +115,63 @@ class Codec:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def word(self, raw: bytes) -> list[int]:
-        """The ids of a word with its spaces: its lattice has one piece that can end at each character."""
-        text = raw.decode().replace(" ", MARK)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with their spaces, one after the other, and how many each has."""
+        texts = [w.decode().replace(" ", MARK) for w in words]
+        short = [k for k, t in enumerate(texts) if len(t) <= SHORT]
+        ids: list = [None] * len(texts)
+        for k, t in enumerate(texts):
+            if len(t) > SHORT:
+                ids[k] = np.array(self.walk(t), np.int64)
+        flat, sizes = self.merge_all([texts[k] for k in short])
+        edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        if len(short) == len(texts):
+            return flat, sizes
+        for n, k in enumerate(short):
+            ids[k] = flat[edge[n] : edge[n + 1]]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def merge_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the best pair of every text, the leftmost of equals, until none has a pair that is a piece."""
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        k = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        n = len(self.symbols)
+        symbol = np.where(self.chars[k] == code, k, n)  # n: a character that no piece has
+        done = []
+        while len(symbol):
+            pair = symbol[:-1] * (n + 1) + symbol[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            ok = np.flatnonzero((self.pairs[at] == pair) & (of[:-1] == of[1:]))
+            worth = self.ranks[at[ok]] * len(symbol) + ok
+            first = np.flatnonzero(np.diff(of[ok], prepend=-1))
+            pick = np.minimum.reduceat(worth, first) % len(symbol) if len(ok) else ok
+            go = np.zeros(len(texts), bool)
+            go[of[pick]] = True
+            symbol[pick] = self.makes[at[pick]]
+            stay = np.ones(len(symbol), bool)
+            stay[pick + 1] = False
+            more = go[of]
+            done.append((of[~more], symbol[~more], code[~more]))
+            of, symbol, code = of[stay & more], symbol[stay & more], code[stay & more]
+        if not done:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        of, symbol, code = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, symbol, code = of[order], symbol[order], code[order]
+        known = symbol < n
+        size = np.ones(len(symbol), np.int64)
+        size[known] = self.symbol_sizes[symbol[known]]
+        odd = [[self.byte_ids[b] for b in chr(c).encode()] for c in code[~known].tolist()]
+        size[~known] = np.fromiter(map(len, odd), np.int64, len(odd))
+        begin = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.int64)
+        ids[textkit.spread(begin[known], size[known])] = self.symbol_ids[textkit.spread(self.symbol_at[symbol[known]], size[known])]
+        ids[textkit.spread(begin[~known], size[~known])] = [i for x in odd for i in x]
+        return ids, np.bincount(of, size, minlength=len(texts)).astype(np.int64)
+
+    def walk(self, text: str) -> list[int]:
+        """The ids of a word: its lattice has one piece that can end at each character."""
         n, ids, joins, longest = len(text), self.ids, self.joins, self.longest
         last: list[str | None] = [None] * (n + 1)
         for j in range(1, n + 1):
@@ -212,20 +287,69 @@ def combine(x: list[tuple[State, State]], y: list[tuple[State, State]]) -> list[
     return sorted({(a, z) for a, b in x for z in by.get(b, ())})
 
 
-def states_of(matrices: list[list[tuple[State, State]]]) -> list[State]:
-    """The state at every cut of a text, its two ends included: forward products, then back from the end."""
-    reach: list[list[tuple[State, State]]] = [[((0, 0), (0, 0))]]
+def to_bytes(cells: list[tuple[State, State]]) -> bytes:
+    return np.array(cells, "<i2").tobytes()
+
+
+def from_bytes(raw: bytes) -> list[tuple[State, State]]:
+    return [((a, b), (y, z)) for a, b, y, z in np.frombuffer(raw, "<i2").reshape(-1, 4).tolist()]
+
+
+def inner_states(matrices: list[list[tuple[State, State]]], begin: State, end: State) -> list[State]:
+    """The states at all cuts of neighbours whose two ends are known: forward products, then back from the end."""
+    reach: list[set[State]] = [{begin}]
     for m in matrices:
-        reach.append(combine(reach[-1], m))
-    state = next(b for _, b in reach[-1] if b[1] == 0)
-    out = [state]
+        reach.append({b for a, b in m if a in reach[-1]})
+    out = [end]
     for k in range(len(matrices) - 1, -1, -1):
-        before = {b for _, b in reach[k]}
-        state = next(a for a, b in matrices[k] if b == state and a in before)
-        out.append(state)
+        out.append(next(a for a, b in matrices[k] if b == out[-1] and a in reach[k]))
     return out[::-1]
 
 
+STATES = "doc binary, node int, a int, b int, y int, z int"
+
+
+def scan(cells: DataFrame, last: int, partitions: int) -> DataFrame:
+    """The states at both ends of every chunk (STATES, node: the chunk), from the chunks' matrices (doc, node, cells).
+
+    last: the largest chunk number of any text.
+    """
+    up = F.expr(f"node div {FAN}").cast("int")
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bin", F.pmod(F.xxhash64("doc", "parent"), F.lit(8 * partitions))).repartition(partitions, "bin")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (doc, parent), own in pdf.sort_values("node").groupby(["doc", "parent"], sort=False):
+            out.append((doc, parent, to_bytes(reduce(combine, map(from_bytes, own["cells"])))))
+        return pd.DataFrame(out, columns=["doc", "node", "cells"])
+
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (doc, _), own in pdf.sort_values("node").groupby(["doc", "parent"], sort=False):
+            x = own.iloc[0]
+            states = inner_states([from_bytes(c) for c in own["cells"]], (x.a, x.b), (x.y, x.z))
+            out.extend((doc, node, *s, *t) for node, s, t in zip(own["node"], states, states[1:]))  # noqa: B905
+        return pd.DataFrame(out, columns=["doc", "node", "a", "b", "y", "z"])
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(x.doc, x.node, *next(c for c in from_bytes(x.cells) if c[0] == (0, 0) and c[1][1] == 0)) for x in pdf.itertuples()]
+        return pd.DataFrame([(doc, node, *a, *b) for doc, node, a, b in out], columns=["doc", "node", "a", "b", "y", "z"])
+
+    levels = [cells]
+    while last > 0:
+        last //= FAN
+        joined = binned(levels[-1].withColumn("parent", up)).groupBy("bin").applyInPandas(product, "doc binary, node int, cells binary")
+        levels.append(stored(joined, "products"))
+    states = levels.pop().mapInPandas(lambda parts: map(ends, parts), STATES)
+    while levels:
+        above = states.select("doc", F.col("node").alias("parent"), "a", "b", "y", "z")
+        rows = levels.pop().withColumn("parent", up).join(above, ["doc", "parent"])
+        states = binned(rows).groupBy("bin").applyInPandas(down, STATES)
+    return states
+
+
 def encode_bodies(c: Codec, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
     """The ids and bytes of texts that begin and end between words (empty ones have none)."""
     for _, _, buf, off in textkit.slices(texts):
@@ -243,7 +367,7 @@ def encode_bodies(c: Codec, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes
 def chunks(docs: DataFrame, chunk: int, context: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Texts of one chunk (id, text), and the chunks of longer ones (id, doc, chunk, left, body, right)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text")).withColumn("n", F.length("text"))
-    long = rows.filter(F.col("n") > chunk).select("id", F.xxhash64("id", "text").alias("doc"), "text", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk"))
+    long = rows.filter(F.col("n") > chunk).select("id", F.unhex(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")), F.lit(" "), "text"))).alias("doc"), "text", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("chunk"))
     at = F.col("chunk") * chunk
     before = F.greatest(at - context, F.lit(0))
     piece = lambda start, size: F.substring(F.col("text"), (start + 1).cast("int"), size.cast("int"))
@@ -293,13 +417,8 @@ def encode(docs: DataFrame, model: str, chunk: int = 16_384, context: int = 32,
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for pdf in batches:
-            cells = [json.dumps(transfer(c, *marked(x.left, x.body, x.right, x.chunk))) for x in pdf.itertuples()]
-            yield pd.DataFrame({"doc": pdf["doc"], "chunk": pdf["chunk"], "cells": cells})
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("chunk").sort_values("chunk")
-        states = states_of([[(tuple(a), tuple(b)) for a, b in json.loads(x)] for x in pdf["cells"]])
-        return pd.DataFrame({"doc": pdf["doc"], "chunk": pdf["chunk"], "a": [s[0] for s in states[:-1]], "b": [s[1] for s in states[:-1]], "y": [s[0] for s in states[1:]], "z": [s[1] for s in states[1:]]})
+            cells = [to_bytes(transfer(c, *marked(x.left, x.body, x.right, x.chunk))) for x in pdf.itertuples()]
+            yield pd.DataFrame({"doc": pdf["doc"], "node": pdf["chunk"], "cells": cells})
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -335,9 +454,11 @@ def encode(docs: DataFrame, model: str, chunk: int = 16_384, context: int = 32,
                     exact.append(c.decode(all_ids) == text[x.b : max(end, x.b)].replace(MARK, " ").encode())
                 yield out(pa.array(pdf["id"], pa.int64()), pdf["chunk"].tolist(), ids, exact)
 
-    held = stored(parts.repartition(shuffle_partitions(docs.sparkSession), "doc", "chunk"), "chunks")
-    cells = held.select("doc", "chunk", "left", "body", "right").mapInPandas(matrices, "doc long, chunk int, cells string")
-    states = cells.groupBy("doc").applyInPandas(scan, "doc long, chunk int, a int, b int, y int, z int")
+    partitions = shuffle_partitions(docs.sparkSession)
+    held = stored(parts.repartition(partitions, "doc", "chunk"), "chunks")
+    last = held.agg(F.max("chunk")).first()[0]
+    cells = held.select("doc", "chunk", "left", "body", "right").mapInPandas(matrices, "doc binary, node int, cells binary")
+    states = scan(stored(cells.dropDuplicates(["doc", "node"]), "cells"), last or 0, partitions).withColumnRenamed("node", "chunk")
     encoded = held.join(states, ["doc", "chunk"]).select("id", "chunk", "left", "body", "right", "a", "b", "y", "z").mapInArrow(traced, ENCODED)
     return short.mapInArrow(whole, ENCODED).unionByName(encoded)
 

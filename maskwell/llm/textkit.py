@@ -215,10 +215,10 @@ class PieceCache:
     """Ids of distinct pre-tokens; each is encoded once until the cache holds ``most`` bytes and begins anew.
 
     A pre-token is found by its hash and then compared with the bytes that are kept; one that differs is encoded
-    for the slice alone.
+    for the slice alone. encode: the ids of many pre-tokens, one after the other, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[bytes], list[int]], most: int = 24 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 24 << 20):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -247,12 +247,10 @@ class PieceCache:
         at[found], sizes[found] = self.at[k[found]], self.sizes[k[found]]
         miss = np.flatnonzero(~found)
         if len(miss):
-            raw, encode = buf.tobytes(), self.encode
-            w = where[miss]
-            new = [encode(raw[a:b]) for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)]
-            sizes[miss] = np.fromiter(map(len, new), np.int64, len(new))
+            raw, w = buf.tobytes(), where[miss]
+            new, sizes[miss] = self.encode([raw[a:b] for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)])
             at[miss] = len(self.ids) + np.cumsum(sizes[miss]) - sizes[miss]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(sizes[miss].sum()))])
+            self.ids = np.concatenate([self.ids, new.astype(np.uint32)])
             # the first of a hash is kept for later slices
             first = miss[np.concatenate([[True], keys[miss][1:] != keys[miss][:-1]])]
             first = first[(k[first] == len(self.keys)) | (self.keys[np.minimum(k[first], len(self.keys) - 1)] != keys[first])] if len(self.keys) else first
@@ -264,6 +262,15 @@ class PieceCache:
         return at[inverse], sizes[inverse]
 
 
+def one_by_one(encode: Callable[[bytes], list[int]]) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    def run(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [encode(x) for x in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+
+    return run
+
+
 def spread(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """at[0], at[0]+1, ... (sizes[0] of them), then at[1], ...: the elements of many runs."""
     total = int(sizes.sum())

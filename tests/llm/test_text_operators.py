@@ -87,6 +87,27 @@ def test_codec_is_the_library_s_and_turns_back(docs):
     assert back == {i: (t or "").replace("▁", " ") for i, t in texts()}
 
 
+def test_long_texts_take_several_levels_of_the_scan(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(8)
+    rows = [(1, "".join(rng.choices(PARTS + ["ing tion al"], k=9000))), (2, "x" * 9000), (3, "".join(rng.choice("中文字😀") for _ in range(5000))), (4, "".join(thue_morse(2000))), (None, "the end " * 700)]
+    parts = collections.defaultdict(dict)
+    for r in sp_codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, chunk=16).collect():
+        assert r["exact"]
+        parts[r["id"]][r["chunk"]] = r["ids"]
+    assert max(parts[1]) >= sp_codec.FAN**2
+    assert {i: [x for _, ids in sorted(p.items()) for x in ids] for i, p in parts.items()} == {i: sp.encode(t) for i, t in rows}
+
+
+def test_words_are_merged_as_the_library_does():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghinostr éß中😀'0", k=rng.randint(1, 60))).replace(" ", "") or "a" for _ in range(5000)]
+    ids, sizes = sp_codec.codec(MODEL).encode_words([f" {w}".encode() for w in words])
+    edge = [0, *sizes.cumsum().tolist()]
+    assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == sp.encode(words)  # noqa: B905
+
+
 def test_packing_covers_every_id_once(docs):
     library = Tokenizer.from_file(JSON)
     rows = packing.packing(docs, JSON, RANKS, windows=4).collect()
