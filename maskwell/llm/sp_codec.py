@@ -35,6 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ MARK = "▁"
 FAN = 16
 SHORT = 40  # characters
 JOINS = 100_000
+SLICE = 1 << 20  # bytes of text that a worker has in hand; it takes some 50 times as much
 _codecs: dict[str, Codec] = {}
 State = tuple[int, int]  # characters of the piece before the cut, and after it
 
@@ -352,7 +354,7 @@ def scan(cells: DataFrame, last: int, partitions: int) -> DataFrame:
 
 def encode_bodies(c: Codec, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
     """The ids and bytes of texts that begin and end between words (empty ones have none)."""
-    for _, _, buf, off in textkit.slices(texts):
+    for _, _, buf, off in textkit.slices(texts, SLICE):
         start = word_starts(buf, off)
         end = np.append(start[1:], len(buf))[: len(start)]
         at, sizes = c.words.look_up(buf, start, end) if len(start) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -392,18 +394,19 @@ def encode(docs: DataFrame, model: str, chunk: int = 16_384, context: int = 32,
     short, parts = chunks(docs, chunk, context, key, text)
 
     def lead(texts: pa.Array) -> pa.Array:
-        return pa.array([f" {t}" if t else "" for t in texts.to_pylist()], pa.large_string())
+        """Texts as the library takes them: with a space before what isn't empty."""
+        texts, wide = texts.cast(pa.large_string()), pa.large_string()
+        return pc.binary_join_element_wise(pc.if_else(pc.equal(texts, ""), pa.scalar("", wide), pa.scalar(" ", wide)), texts, pa.scalar("", wide))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            texts, ids, exact, done = lead(batch.column(1)), [], [], 0
-            for own, raw in encode_bodies(c, texts):
-                ids.append(pa.array(own.astype(np.int32)))
-                exact.append(c.decode(own) == raw.replace(MARK.encode(), b" "))
-                if len(ids) == 500 or done + len(ids) == len(texts):
-                    yield out(batch.column(0).slice(done, len(ids)), [0] * len(ids), ids, exact)
-                    done, ids, exact = done + len(ids), [], []
+            for row, end, _, _ in textkit.slices(batch.column(1), SLICE):
+                ids, exact = [], []
+                for own, raw in encode_bodies(c, lead(batch.column(1).slice(row, end - row))):
+                    ids.append(pa.array(own.astype(np.int32)))
+                    exact.append(c.decode(own) == raw.replace(MARK.encode(), b" "))
+                yield out(batch.column(0).slice(row, end - row), [0] * len(ids), ids, exact)
 
     def out(keys: pa.Array, number: list[int], ids: list, exact: list[bool]) -> pa.RecordBatch:
         edge = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -414,50 +417,52 @@ def encode(docs: DataFrame, model: str, chunk: int = 16_384, context: int = 32,
         left, body, right = (x.replace(" ", MARK) for x in (left, body, right))
         return ("", MARK + body, right) if number == 0 else ((MARK + left)[-context:], body, right)
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        rows = max(1, SLICE // chunk)
+        return (batch.slice(k, rows).to_pandas(integer_object_nulls=True) for batch in batches for k in range(0, len(batch), rows))
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for pdf in batches:
+        for pdf in few(batches):
             cells = [to_bytes(transfer(c, *marked(x.left, x.body, x.right, x.chunk))) for x in pdf.itertuples()]
-            yield pd.DataFrame({"doc": pdf["doc"], "node": pdf["chunk"], "cells": cells})
+            yield pa.RecordBatch.from_arrays([pa.array(pdf["doc"], pa.binary()), pa.array(pdf["chunk"], pa.int32()), pa.array(cells, pa.binary())], ["doc", "node", "cells"])
 
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
-            for k in range(0, len(batch), 200):
-                pdf = batch.slice(k, 200).to_pandas()
-                ends, middles = [], []
-                for x in pdf.itertuples():
-                    left, body, right = marked(x.left, x.body, x.right, x.chunk)
-                    text = body + right
-                    begin = (x.b, left[len(left) - x.a :] + text[: x.b] if x.a else None)
-                    end = len(body) + x.z
-                    last = (left + text)[len(left) + end - x.y - x.z : len(left) + end]
-                    edges = [e - len(left[-1:]) for e in word_edges(left[-1:] + body)]
-                    edges = [e for e in edges if e >= x.b]
-                    if end <= x.b:  # the piece before covers the chunk
-                        ends.append(([], [], x.b, x.b, text))
-                    elif not edges:
-                        ends.append((c.trace(text, begin, end, last), [], end, end, text))
-                    else:
-                        first, final = edges[0], edges[-1]
-                        head: list[int] = []
-                        if first > begin[0]:
-                            nodes = c.sweep(text[:first], [begin], first)
-                            head = c.trace(text[:first], begin, first, next(iter(nodes[first])))
-                        ends.append((head, c.trace(text[final:], (0, None), end - final, last), first, final, text))
-                    middles.append(ends[-1][4][ends[-1][2] : ends[-1][3]].replace(MARK, " "))
-                ids, exact = [], []
-                for (head, tail, first, final, text), x, (own, _) in zip(ends, pdf.itertuples(), encode_bodies(c, pa.array(middles, pa.large_string())), strict=True):
-                    all_ids = np.concatenate([np.array(head, np.int64), own.astype(np.int64), np.array(tail, np.int64)])
-                    end = (len(text) - len(x.right)) + x.z
-                    ids.append(all_ids.astype(np.int32))
-                    exact.append(c.decode(all_ids) == text[x.b : max(end, x.b)].replace(MARK, " ").encode())
-                yield out(pa.array(pdf["id"], pa.int64()), pdf["chunk"].tolist(), ids, exact)
+        for pdf in few(batches):
+            ends, middles = [], []
+            for x in pdf.itertuples():
+                left, body, right = marked(x.left, x.body, x.right, x.chunk)
+                text = body + right
+                begin = (x.b, left[len(left) - x.a :] + text[: x.b] if x.a else None)
+                end = len(body) + x.z
+                last = (left + text)[len(left) + end - x.y - x.z : len(left) + end]
+                edges = [e - len(left[-1:]) for e in word_edges(left[-1:] + body)]
+                edges = [e for e in edges if e >= x.b]
+                if end <= x.b:  # the piece before covers the chunk
+                    ends.append(([], [], x.b, x.b, text))
+                elif not edges:
+                    ends.append((c.trace(text, begin, end, last), [], end, end, text))
+                else:
+                    first, final = edges[0], edges[-1]
+                    head: list[int] = []
+                    if first > begin[0]:
+                        nodes = c.sweep(text[:first], [begin], first)
+                        head = c.trace(text[:first], begin, first, next(iter(nodes[first])))
+                    ends.append((head, c.trace(text[final:], (0, None), end - final, last), first, final, text))
+                middles.append(ends[-1][4][ends[-1][2] : ends[-1][3]].replace(MARK, " "))
+            ids, exact = [], []
+            for (head, tail, first, final, text), x, (own, _) in zip(ends, pdf.itertuples(), encode_bodies(c, pa.array(middles, pa.large_string())), strict=True):
+                all_ids = np.concatenate([np.array(head, np.int64), own.astype(np.int64), np.array(tail, np.int64)])
+                end = (len(text) - len(x.right)) + x.z
+                ids.append(all_ids.astype(np.int32))
+                exact.append(c.decode(all_ids) == text[x.b : max(end, x.b)].replace(MARK, " ").encode())
+            yield out(pa.array(pdf["id"], pa.int64()), pdf["chunk"].tolist(), ids, exact)
 
     partitions = shuffle_partitions(docs.sparkSession)
     held = stored(parts.repartition(partitions, "doc", "chunk"), "chunks")
     last = held.agg(F.max("chunk")).first()[0]
-    cells = held.select("doc", "chunk", "left", "body", "right").mapInPandas(matrices, "doc binary, node int, cells binary")
+    cells = held.select("doc", "chunk", "left", "body", "right").mapInArrow(matrices, "doc binary, node int, cells binary")
     states = scan(stored(cells.dropDuplicates(["doc", "node"]), "cells"), last or 0, partitions).withColumnRenamed("node", "chunk")
     encoded = held.join(states, ["doc", "chunk"]).select("id", "chunk", "left", "body", "right", "a", "b", "y", "z").mapInArrow(traced, ENCODED)
     return short.mapInArrow(whole, ENCODED).unionByName(encoded)

@@ -25,7 +25,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+            p = np.full(max(n, (1 << 20) + 1), base, np.uint64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0][:n], _powers[1][:n]
