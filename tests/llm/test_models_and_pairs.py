@@ -104,7 +104,9 @@ def test_vectors_against_brute_force(spark):
     base = rng.normal(size=(20, 16))
     x = [(int(i), [float(v) for v in base[i % 20] + rng.normal(size=16) * rng.choice([0, 0.1, 0.3])]) for i in range(150)]
     x += [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, x[0][1]), (504, [float("inf")] + [1.0] * 15), (505, [None] + [1.0] * 15)]
-    got = embedding_dedup.near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<float>"), tile=16).collect()
+    got = embedding_dedup.near_vectors(spark.createDataFrame([*x, (None, x[0][1])], "vec_id long, embedding array<float>"), tile=16).collect()
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, False)]
+    got = [r for r in got if r["vec_id"] is not None]
     good = {i: np.array(v, np.float32).astype(float) for i, v in x if i < 500 or i == 503}
     unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
     links = {i: [j for j in unit if j != i and unit[i] @ unit[j] >= 0.9] for i in unit}
@@ -124,6 +126,14 @@ def test_quantisation_bounds_hold():
     assert (np.abs(product - x @ x.T) <= e[:, None] * n[None, :] + e[None, :] + 1e-12).all()
 
 
+def test_vectors_of_an_empty_table_and_other_columns(spark):
+    schema = "vec_id long, embedding array<float>, id string, n int, v string, dims int"
+    assert embedding_dedup.near_vectors(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [1.0, 0.0], "a", 1, "b", 9), (2, [1.0, 0.1], "a", 1, "b", 9), (3, [1.0], "a", 1, "b", 9)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
