@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,23 +11,37 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a session on this machine alone gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='maskwell-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/maskwell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the tables that this driver has stored; for when their results have been written or are not wanted."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _stored:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        at.getFileSystem(hadoop).delete(at, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,8 +7,9 @@ joins the ledger back to all paths. A text that a third of all documents hold is
 shuffle that finds distinct blobs combines in every map task first. Only DataFrame functions are used.
 
 Defined results: null text is the empty blob, which has no spans; ties of spans are ordered by kind as
-listed in RULES; repeated rows each get their findings; other columns are not read. Offsets count code
-points, the end is exclusive.
+listed in RULES; repeated rows each get their findings; an empty table gives an empty result; other columns
+come back as they are, but for one that has the name of the findings. Offsets count code points, the end is
+exclusive.
 """
 
 from __future__ import annotations
@@ -85,20 +86,25 @@ class SecretLedger:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        # two updates at a time may both have scanned a blob
+        return self.spark.read.schema(self.schema).parquet(self.path).dropDuplicates(["blob", "version"])
 
     def update(self, docs: DataFrame, text: str = "text") -> None:
         """Scan the blobs of docs that have no row of this version and append what is found."""
         blobs = docs.select(whole_text(text).alias("body")).select(F.unhex(F.sha2("body", 256)).alias("blob"), "body").dropDuplicates(["blob", "body"])
-        known = self.rows()
+        known = self.rows().filter(F.col("version") == self.version).select("blob")
         if not known.isEmpty():
-            blobs = blobs.join(known.filter(F.col("version") == self.version).select("blob"), "blob", "left_anti")
+            blobs = blobs.join(known, "blob", "left_anti")
         blobs.select("blob", F.lit(self.version).alias("version"), scan(F.col("body"), self.rules).alias("spans")).write.mode("append").parquet(self.path)
 
-    def findings(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """docs with a column ``spans``: what the ledger holds for each row's blob."""
-        ledger = self.rows().filter(F.col("version") == self.version).select(F.col("blob").alias("_blob"), "spans")
-        return docs.withColumn("_blob", F.unhex(F.sha2(whole_text(text), 256))).join(ledger, "_blob", "left").drop("_blob")
+    def findings(self, docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+        """docs with a column ``out``, in the place of one of that name: what the ledger holds for each row's blob."""
+        blob = "_blob"
+        while blob in docs.columns:
+            blob += "_"
+        ledger = self.rows().filter(F.col("version") == self.version).select(F.col("blob").alias(blob), F.col("spans").alias(out))
+        own = docs.withColumn(blob, F.unhex(F.sha2(whole_text(text), 256)))
+        return own.drop(out).join(ledger, blob, "left").drop(blob)
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -87,6 +87,13 @@ def test_codec_is_the_library_s_and_turns_back(docs):
     assert back == {i: (t or "").replace("▁", " ") for i, t in texts()}
 
 
+def test_codec_of_an_empty_table_and_other_columns(spark):
+    schema = "doc_id long, text string, id string, doc string, chunk int, n int"
+    assert sp_codec.encode(spark.createDataFrame([], schema), MODEL).count() == 0
+    rows = [(1, "a b " * 30, "x", "y", 1, 2), (2, None, "x", "y", 1, 2)]
+    assert {r["id"] for r in sp_codec.encode(spark.createDataFrame(rows, schema), MODEL, chunk=16).collect()} == {1, 2}
+
+
 def test_long_texts_take_several_levels_of_the_scan(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(8)
@@ -132,6 +139,13 @@ def test_packing_covers_every_id_once(docs):
     assert len(sequences) * 2048 - tokens < 0.1 * tokens + 5 * 2048
 
 
+def test_packing_of_an_empty_table_and_other_columns(spark):
+    schema = "doc_id long, text string, id string, start string, length int, g int"
+    assert packing.packing(spark.createDataFrame([], schema), JSON, RANKS).count() == 0
+    got = packing.packing(spark.createDataFrame([(1, "a b", "x", "y", 1, 2)], schema), JSON, RANKS).collect()
+    assert [(r["doc_id"], r["start"], r["doc_tokens"]) for r in got] == [(1, 0, 3)]
+
+
 def test_differencing_raises_the_number_of_windows():
     import numpy as np
 
@@ -144,6 +158,9 @@ def test_exact_dedup(spark):
     rows = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (6, "a "), (6, "a ")]
     got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True), (6, 6, 2, True), (6, 6, 2, True)]
+    clashing = spark.createDataFrame([(*r, "d", "b", 1, 2) for r in rows], "doc_id long, text string, digest string, body string, n int, id int")
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(clashing).collect()) == got
+    assert exact_dedup.exact_dedup(clashing.limit(0)).count() == 0
     kept = exact_dedup.keep_rows(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 6]
 
@@ -160,6 +177,14 @@ def test_secrets_and_ledger(spark):
     assert got[1]["spans"] == f"assign:{key}:{key + 20},access:{access}:{access + 24},hex:{run}:{run + 24}"
     assert got[1]["base_sha256"] == hashlib.sha256(got[1]["spans"].encode()).hexdigest()
     assert got[2]["spans"] == got[1]["spans"] and got[3]["spans"] == "" and got[4]["n_assign"] == 1
+    ledger.rows().write.mode("append").parquet(ledger.path + "-copy")
+    twice = secret_scan.SecretLedger(spark, ledger.path + "-copy")
+    for _ in range(2):  # as if two updates had scanned at once
+        ledger.rows().write.mode("append").parquet(twice.path)
+    clashing = docs.selectExpr("*", "'a' as spans", "'b' as _blob", "'c' as blob", "'d' as version")
+    found = twice.findings(clashing)
+    assert found.count() == 4 and set(found.columns) == {*docs.columns, "spans", "_blob", "blob", "version"}
+    assert ledger.findings(docs.limit(0)).count() == 0
     newer = secret_scan.SecretLedger(spark, ledger.path, version="base-2")
     newer.update(docs.filter("doc_id = 1"))
     assert newer.rows().count() == 4
