@@ -34,9 +34,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """All documents; what the ledger has found in a text is replaced by its kind, and n_chars follows."""
     ledger = secret_scan.SecretLedger(spark)
     ledger.update(docs)
-    found = ledger.findings(docs).withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{secret_scan.SPAN}>")))
-    clean = found.select(*[secret_scan.redact(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("spans").alias("_n"))
-    return clean.withColumn("n_chars", F.when(F.col("_n") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = "spans"
+    while own in docs.columns:
+        own += "_"
+    spans = F.coalesce(F.col(own), F.array().cast(f"array<{secret_scan.SPAN}>"))
+    clean = {"text": secret_scan.redact(F.col("text"), spans)}
+    clean["n_chars"] = F.when(F.size(spans) > 0, F.char_length(clean["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return ledger.findings(docs, out=own).select(*[clean[c].alias(c) if c in clean else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
