@@ -35,12 +35,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ledger = secret_scan.SecretLedger(spark)
     ledger.update(docs)
     own = "spans"
-    while own in docs.columns:
+    while own in docs.columns or own + "size" in docs.columns:
         own += "_"
-    spans = F.coalesce(F.col(own), F.array().cast(f"array<{secret_scan.SPAN}>"))
-    clean = {"text": secret_scan.redact(F.col("text"), spans)}
-    clean["n_chars"] = F.when(F.size(spans) > 0, F.char_length(clean["text"]).cast("long")).otherwise(F.col("n_chars"))
-    return ledger.findings(docs, out=own).select(*[clean[c].alias(c) if c in clean else F.col(c) for c in docs.columns])
+    size = own + "size"
+    found = ledger.findings(docs, out=own).withColumn(own, F.coalesce(own, F.array().cast(f"array<{secret_scan.SPAN}>")))
+    clean = found.select(*[secret_scan.redact(F.col("text"), F.col(own)).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size(own).alias(size))
+    return clean.withColumn("n_chars", F.when(F.col(size) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
