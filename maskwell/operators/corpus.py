@@ -22,9 +22,18 @@ def detected(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     return docs.withColumn("spans", S.detect(F.col(text), rules, F.col(model) if model else None, propagated))
 
 
+def each(docs: DataFrame, elements: Column, name: str, *keep: str) -> DataFrame:
+    """keep, name: one row per element of an array whose elements are never null.
+
+    The outer form with a filter above it: for the inner one the optimizer adds filters on the array below the
+    generator, and computes a costly array once for each of them.
+    """
+    return docs.select(*keep, F.explode_outer(elements).alias(name)).filter(F.col(name).isNotNull())
+
+
 def exploded(docs: DataFrame, key: str = "doc_id", spans: str = "spans") -> DataFrame:
     """One row per span: key, idx (its place), start, end, type, value, confidence, detector."""
-    rows = docs.select(key, F.posexplode(spans).alias("idx", "s"))
+    rows = docs.select(key, F.posexplode_outer(spans).alias("idx", "s")).filter("idx is not null")
     return rows.select(key, "idx", *[F.col(f"s.{c}").alias(c) for c in ("start", "end", "type", "value", "confidence", "detector")])
 
 
@@ -48,7 +57,7 @@ def restored(responses: DataFrame, dictionaries: DataFrame, key: str = "doc_id",
 
 def listing(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The dictionaries as rows: key, ord, original, placeholder, entity_type."""
-    return docs.select(key, F.explode("dictionary").alias("e")).select(key, "e.*")
+    return each(docs, F.col("dictionary"), "e", key).select(key, "e.*")
 
 
 def clamped(threshold: float | Column) -> Column:
@@ -125,7 +134,7 @@ def looked_up(rows: DataFrame, entries: DataFrame, key: str = "doc_id", unknown:
 def placeholders(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every placeholder-like string of a text: key, idx, placeholder."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"<<[^<>]+>>"), F.lit(0))
-    return docs.select(key, F.posexplode(found).alias("idx", "placeholder"))
+    return docs.select(key, F.posexplode_outer(found).alias("idx", "placeholder")).filter("idx is not null")
 
 
 def answer_check(responses: DataFrame, entries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

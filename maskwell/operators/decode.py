@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans as S
+from maskwell.operators import corpus
 
 # Chunk sizes and overlaps of the two model families
 WORDS_PER_CHUNK, WORD_OVERLAP = 150, 40
@@ -25,7 +26,7 @@ TAG_LABELS = {
 
 def words(docs: DataFrame, pattern: str = S.WORDS_B, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, idx, word, start, end."""
-    return docs.select(key, F.explode(S.tokens(F.col(text), pattern)).alias("t")).select(key, "t.*")
+    return corpus.each(docs, S.tokens(F.col(text), pattern), "t", key).select(key, "t.*")
 
 
 def word_count(text: Column) -> Column:

@@ -62,8 +62,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text")))
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,11 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select(F.col("c_custkey").alias("doc_id"), F.expr(LETTER).alias("text"))
 
 
-def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows dealt out by key: with the whole catalogue the scan of a text takes far more time than moving it."""
-    context = docs.sparkSession
-    return docs.repartition(max(context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions"))), key)
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows dealt out where the files have fewer splits than there are cores: a scan takes far more time than moving
+    its texts. A large table has more splits, and nothing is moved."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(4 * cores)
 
 
 def query(oracle: str | None = None, name: str = ""):
@@ -114,13 +115,13 @@ query(scan_oracle(DOCS, _OVER), "scan_documents")(with_rules(texts, _OVER))
 
 @query(f'SELECT page_id, detector, s AS start, e AS "end", value FROM ({sql.scan("SELECT page_id, coalesce(html, chr(32)) AS text FROM pages", FOUR, "page_id")})')
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text")))
     return corpus.exploded(pages.withColumn("spans", S.scan(F.col("text"), FOUR)), "page_id").select("page_id", "detector", "start", "end", "value")
 
 
 @query()
 def scan_pages_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text")), "page_id")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text")))
     return corpus.exploded(pages.withColumn("spans", S.scan(F.col("text"), rules.RULES)), "page_id").select("page_id", "detector", "start", "end", "value")
 
 
@@ -206,7 +207,7 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Both passes by the whole catalogue; RE2 lacks look-around and DuckDB takes too long for so many rules: no oracle, tests by brute force
 @query()
 def redact_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.redacted(corpus.detected(spread(texts(spark, sf_dir))))
+    docs = corpus.redacted(corpus.detected(texts(spark, sf_dir)))
     return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
@@ -250,7 +251,7 @@ _TWICE_NUMBERED = sql.numbered(_TWICE)
 
 
 def two_pass(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", *columns, F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, sf_dir, *columns)
     return corpus.detected(docs, SEVERAL)
 
 
@@ -294,7 +295,7 @@ def two_pass_spans_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_TWICE}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, type)")
 def two_pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = two_pass(spark, sf_dir, "lang").select("doc_id", "lang", F.explode("spans").alias("s")).select("doc_id", "lang", "s.type")
+    rows = corpus.each(two_pass(spark, sf_dir, "lang"), F.col("spans"), "s", "doc_id", "lang").select("doc_id", "lang", "s.type")
     return rows.rollup("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -421,7 +422,7 @@ def words_by_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^{WHITE}]') THEN len(regexp_extract_all(text, '[^{WHITE}]+')) ELSE 0 END::INT AS n_words FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", decode.word_count(F.col("text")).alias("n_words"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", decode.word_count(F.col("text")).alias("n_words"))
 
 
 @query(f"""SELECT doc_id, s AS start, confidence, CASE WHEN confidence > 0.8 THEN 'high' WHEN confidence > 0.5 THEN 'mid' ELSE 'low' END AS band, floor(confidence * 100 + 0.5)::INT AS percent
@@ -450,7 +451,7 @@ def label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^%s]+')) AS n FROM documents)""" % WHITE)  # noqa: UP031
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(F.regexp_extract_all("text", F.lit(S.WORDS_B), F.lit(0)))
-    return texts(spark, sf_dir).select("doc_id", F.explode(decode.fixed_chunks(n)).alias("first"))
+    return corpus.each(texts(spark, sf_dir), decode.fixed_chunks(n), "first", "doc_id")
 
 
 # Words cost a token per four letters; messages with small budgets
@@ -463,14 +464,14 @@ c AS (SELECT doc_id, first, stop, n FROM step WHERE first = 0
 SELECT doc_id, first::INT AS first, stop::INT AS "end" FROM c""")
 def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))
-    return messages(spark, sf_dir).select("doc_id", F.explode(decode.budget_chunks(costs, 20, 4)).alias("c")).select("doc_id", "c.first", "c.end")
+    return corpus.each(messages(spark, sf_dir), decode.budget_chunks(costs, 20, 4), "c", "doc_id").select("doc_id", "c.first", "c.end")
 
 
 # the model's own budget over whole documents; the oracle's join takes the square of a text's words: tested by brute force
 @query()
 def budget_chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))
-    return texts(spark, sf_dir).select("doc_id", F.explode(decode.budget_chunks(costs)).alias("c")).select("doc_id", "c.first", "c.end")
+    return corpus.each(texts(spark, sf_dir), decode.budget_chunks(costs), "c", "doc_id").select("doc_id", "c.first", "c.end")
 
 
 # tags of words, from their offsets: B or I of two names, or none
@@ -528,7 +529,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1)::INT AS
 
 @query(_PIECES)
 def review_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = several(spark, sf_dir).select("doc_id", F.posexplode(decode.pieces(F.col("text"), F.col("spans"))).alias("idx", "p"))
+    rows = several(spark, sf_dir).select("doc_id", F.posexplode_outer(decode.pieces(F.col("text"), F.col("spans"))).alias("idx", "p")).filter("idx is not null")
     return rows.select("doc_id", "idx", "p.text", "p.type")
 
 
@@ -540,8 +541,8 @@ def spans_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lang, type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({SOME_KEPT}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, type)")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.detected(table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), SEVERAL, propagated=False)
-    rows = docs.select("doc_id", "lang", F.explode("spans").alias("s")).select("doc_id", "lang", "s.type")
+    docs = corpus.detected(texts(spark, sf_dir, "lang"), SEVERAL, propagated=False)
+    rows = corpus.each(docs, F.col("spans"), "s", "doc_id", "lang").select("doc_id", "lang", "s.type")
     return rows.rollup("lang", "type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -562,8 +563,8 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT lang, region, domain, count(*) AS n FROM ({SOME}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) JOIN ({_DOMAINS}) USING (detector) WHERE domain IN ('contact', 'financial') GROUP BY ALL")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", S.scan(F.col("text"), SEVERAL))
-    rows = docs.select("lang", F.explode("spans").alias("s")).select("lang", "s.detector")
+    docs = texts(spark, sf_dir, "lang").withColumn("spans", S.scan(F.col("text"), SEVERAL))
+    rows = corpus.each(docs, F.col("spans"), "s", "lang").select("lang", "s.detector")
     wanted = F.array(F.lit("contact"), F.lit("financial"))
     tags = rule_table(spark).filter(F.arrays_overlap("domains", wanted)).select("detector", "region", F.explode("domains").alias("domain")).filter(F.col("domain").isin("contact", "financial"))
     return rows.join(F.broadcast(tags), "detector").groupBy("lang", "region", "domain").agg(F.count(F.lit(1)).alias("n"))
@@ -571,10 +572,10 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, lang, detector, s AS start FROM ({sql.scan(DOCS, tuple(r for r in SEVERAL if r.region == 'universal'))}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) UNION ALL SELECT doc_id, lang, detector, s FROM ({sql.scan(DOCS, rules.named('de:phone', 'fr:cni'))}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE detector[7:8] = lang")
 def region_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts(spark, sf_dir, "lang")
     of = lambda region: S.scan(F.col("text"), tuple(r for r in SEVERAL if r.region in ("universal", region)))
     chosen = F.when(F.col("lang") == "de", of("de")).when(F.col("lang") == "fr", of("fr")).otherwise(of("universal"))
-    rows = docs.withColumn("spans", chosen).select("doc_id", "lang", F.explode("spans").alias("s"))
+    rows = corpus.each(docs.withColumn("spans", chosen), F.col("spans"), "s", "doc_id", "lang")
     return rows.select("doc_id", "lang", "s.detector", "s.start")
 
 
@@ -588,12 +589,12 @@ LANGUAGES = {
 # a document has the universal rules and those of all regions of its language; of any region if the language is none of these
 @query()
 def region_by_language_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")))
+    docs = texts(spark, sf_dir, "lang")
     known = sorted({x for spoken in LANGUAGES.values() for x in spoken})
     of = lambda region: S.scan(F.col("text"), tuple(r for r in rules.RULES if r.region == region))
     here = lambda spoken: F.coalesce(F.col("lang").isin(*spoken) | ~F.col("lang").isin(*known), F.lit(True))
     regional = [F.when(here(LANGUAGES[region]), of(region)).otherwise(S.none(S.SPAN)) for region in rules.REGIONS]
-    rows = docs.withColumn("spans", F.concat(of("universal"), *regional)).select("doc_id", "lang", F.explode("spans").alias("s"))
+    rows = corpus.each(docs.withColumn("spans", F.concat(of("universal"), *regional)), F.col("spans"), "s", "doc_id", "lang")
     return rows.select("doc_id", "lang", "s.detector", "s.start")
 
 

@@ -64,5 +64,5 @@ def latest_wins(store: str, key: list[str], version: list[str]) -> Callable[[Dat
 def counts_by_window(messages: DataFrame, rules: tuple[Rule, ...], time: str = "ts", text: str = "text", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Spans per time window and type; rows later than the watermark are dropped."""
     found = messages.withWatermark(time, late).withColumn("spans", S.resolve(S.scan(F.col(text), rules)))
-    rows = found.select(time, F.explode("spans").alias("s"))
+    rows = corpus.each(found, F.col("spans"), "s", time)
     return rows.groupBy(F.window(time, width).alias("w"), F.col("s.type").alias("type")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "type", "n")
