@@ -149,10 +149,13 @@ def session_numbers(values: DataFrame, stored: DataFrame, order: list[str]) -> D
     """One session over many documents: original, ord. Known values keep their number, new ones go on from the largest.
 
     New values are numbered by ``order``, their first appearance. Numbers are given range by range, so that no task
-    has to hold all new values.
+    has to hold all new values. The ranges are checkpointed where the session has a checkpoint folder.
     """
+    context = values.sparkSession.sparkContext
+    # what the ranges were must not be found anew: numbers of two samplings could clash
+    settled = lambda df: df.checkpoint() if context.getCheckpointDir() else df
     new = values.groupBy("original").agg(F.min(F.struct(*order)).alias("first")).join(stored.select("original"), "original", "left_anti")
-    ranged = new.repartitionByRange(F.col("first"), F.col("original")).sortWithinPartitions("first", "original").withColumn("part", F.spark_partition_id())
+    ranged = settled(new.repartitionByRange(F.col("first"), F.col("original")).withColumn("part", F.spark_partition_id()))
     ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("first", "original")))
     sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
