@@ -45,7 +45,7 @@ def _encoder(vocabulary: str, ranks: str):
         library = Tokenizer.from_file(vocabulary)
         specials = [t.content for t in library.get_added_tokens_decoder().values()]
         classes = textkit.Classes(library.pre_tokenizer.pre_tokenize_str)
-        _encoders[vocabulary] = (textkit.PieceCache(textkit.one_by_one(fast._core_bpe.encode_single_piece)), library, specials, classes)
+        _encoders[vocabulary] = (textkit.PieceCache(textkit.one_by_one(fast._core_bpe.encode_single_piece), 64 << 20), library, specials, classes)
     return _encoders[vocabulary]
 
 

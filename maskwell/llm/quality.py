@@ -7,15 +7,18 @@ answers on unlabelled documents as pseudo-labels, as many of each kind as the la
 end both are calibrated again and their log odds are combined by a small regression on the rows kept aside.
 
 Training uses about ``train_rows`` labelled and ``pool_rows`` unlabelled documents at most (bounded samples by a hash
-of the key); every document is scored.
+of the key); every document is scored. The ``kinds`` (64) commonest values of lang and of source among labelled rows are
+told apart, rarer ones share 16 cells by hash.
 
 Defined results: null texts are empty, null metadata is a value of its own; without labels, or with one kind of
 label only, the score is the labels' share (0.5 without any); repeated rows are scored each; an empty table gives an
-empty result; null labels don't train; other columns are not read.
+empty result; null labels don't train; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,10 +128,24 @@ def view_of(x: np.ndarray) -> View:
     return View(x.mean(0), np.where(scale > 1e-9, scale, 1.0))
 
 
-def metadata_view(rows: list, categories: dict[str, list[str]]) -> np.ndarray:
-    """Indicators of the known languages and sources, and the recorded length."""
-    out = [[float(r[c] == v) for c, known in categories.items() for v in known] + [np.log1p(max(0, r["n_chars"] or 0)), float(r["n_chars"] is None)] for r in rows]
-    return np.array(out, float).reshape(len(rows), sum(map(len, categories.values())) + 2)
+def codes(values: pa.Array, known: list[str], cells: int) -> np.ndarray:
+    """The place of each value: one of its own if known, else one of the cells by hash, and one for null."""
+    place = {v: k for k, v in enumerate(known)}
+    coded = values.cast(pa.string()).dictionary_encode()
+    of = [place.get(v, len(known) + zlib.crc32(v.encode()) % cells) for v in coded.dictionary.to_pylist()]
+    return np.array([*of, len(known) + cells])[coded.indices.fill_null(len(of)).to_numpy(zero_copy_only=False)]
+
+
+def metadata_view(rows: pa.Table | pa.RecordBatch, categories: dict[str, list[str]], cells: int = 16) -> np.ndarray:
+    """Indicators of language and source, and the recorded length."""
+    out = [np.eye(len(known) + cells + 1)[codes(chunk(rows, c), known, cells)] for c, known in categories.items()]
+    size = chunk(rows, "n_chars")
+    return np.column_stack([*out, np.log1p(np.maximum(0, size.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))), size.is_null().to_numpy(zero_copy_only=False)])
+
+
+def chunk(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    column = rows.column(name)
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 @dataclass
@@ -141,18 +158,20 @@ class Model:
 
 
 def co_train(labelled: list, pool: list, rounds: int = 5, share: float = 0.05, sure: float = 0.95, kinds: int = 64) -> Model:
-    """labelled: rows with y; pool: rows without. Every fourth labelled row is kept aside for calibration."""
+    """labelled: rows with y; pool: rows without. Every fourth labelled row is kept aside, by turns for the calibration of
+    the views and for their combination."""
     y = np.array([r["y"] for r in labelled], float)
     if len(y) == 0 or y.min() == y.max():
         prior = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
         return Model(None, None, {}, np.array([0.0, 0.0, np.log(prior / (1 - prior))]), [])
-    categories = {c: [v for v, _ in sorted(Counter(r[c] for r in labelled).items(), key=lambda x: (-x[1], str(x[0])))[:kinds]] for c in ("lang", "source")}
-    views = {"text": np.array([r["x"] for r in labelled]), "metadata": metadata_view(labelled, categories)}
-    free = {"text": np.array([r["x"] for r in pool]).reshape(len(pool), WIDTH), "metadata": metadata_view(pool, categories)}
-    aside = np.arange(len(y)) % 4 == 3
-    if y[aside].min() == y[aside].max() or y[~aside].min() == y[~aside].max():
-        aside = np.ones(len(y), bool)
-    own = ~aside if not aside.all() else aside
+    categories = {c: [v for v, _ in sorted(Counter(r[c] for r in labelled if r[c] is not None).items(), key=lambda x: (-x[1], x[0]))[:kinds]] for c in ("lang", "source")}
+    columns = lambda rows: pa.table({c: pa.array([r[c] for r in rows], k) for c, k in (("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))})
+    views = {"text": np.array([r["x"] for r in labelled]), "metadata": metadata_view(columns(labelled), categories)}
+    free = {"text": np.array([r["x"] for r in pool]).reshape(len(pool), WIDTH), "metadata": metadata_view(columns(pool), categories)}
+    turn_of = np.arange(len(y)) % 8
+    own, aside, mixing = turn_of % 4 != 3, turn_of == 3, turn_of == 7
+    if any(not on.any() or y[on].min() == y[on].max() for on in (own, aside, mixing)):
+        own = aside = mixing = np.ones(len(y), bool)
     models = {k: view_of(v) for k, v in views.items()}
     given = {k: np.full(len(pool), -1.0) for k in views}  # labels that the other view gave
     history = []
@@ -173,12 +192,13 @@ def co_train(labelled: list, pool: list, rounds: int = 5, share: float = 0.05, s
                 new += len(best)
             counts.append(new)
         history.append((counts[0], counts[1]))
-    both = np.column_stack([m.log_odds(views[k][aside]) for k, m in models.items()])
-    return Model(models["text"], models["metadata"], categories, logistic.fit(both, y[aside], penalty=0.1), history)
+    both = np.column_stack([m.log_odds(views[k][mixing]) for k, m in models.items()])
+    return Model(models["text"], models["metadata"], categories, logistic.fit(both, y[mixing], penalty=0.1), history)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, pool_rows: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     meta = ["lang", "source", "n_chars"]
+    docs = docs.select(key, text, *meta)
     part = lambda name, share: F.pmod(F.xxhash64(key, F.lit(name)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))
     known = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
     usable = known.filter(~held_out(key))
@@ -198,8 +218,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 part = batch.slice(row, end - row)
                 z = np.full(end - row, model.mixed[-1])
                 if model.text is not None:
-                    rows = part.select(["lang", "source", "n_chars"]).to_pylist()
-                    z = z + model.mixed[0] * model.text.log_odds(text_view(buf, off)) + model.mixed[1] * model.metadata.log_odds(metadata_view(rows, model.categories))
+                    z = z + model.mixed[0] * model.text.log_odds(text_view(buf, off)) + model.mixed[1] * model.metadata.log_odds(metadata_view(part, model.categories))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic.sigmoid(z))], ["id", "score"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"), "lang", "source", "n_chars")

@@ -167,6 +167,23 @@ def test_classifiers_hold_out_and_learn(spark, operator, label):
     assert sum(got[i]["predicted"] == truth[i] for i in held) / len(held) > 0.9
 
 
+@pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
+def test_classifiers_on_an_empty_table_and_other_columns(spark, operator):
+    docs, labels = labelled(spark, 60)
+    more = docs.selectExpr("*", "1 as y", "'a' as x", "'b' as id", "0.1 as score", "true as held_out")
+    assert operator(docs.limit(0), labels).count() == 0
+    want = {r["doc_id"]: r["score"] for r in operator(docs, labels).collect()}
+    assert {r["doc_id"]: r["score"] for r in operator(more, labels).collect()} == pytest.approx(want)
+
+
+def test_metadata_of_rare_sources_is_not_lost():
+    import pyarrow as pa
+
+    rows = pa.table({"lang": ["en", None], "source": ["rare", "a"], "n_chars": pa.array([5, None], pa.int64())})
+    view = quality.metadata_view(rows, {"lang": ["en"], "source": ["a"]})
+    assert view[:, :-2].sum(1).tolist() == [2, 2] and view[:, -1].tolist() == [0, 1]
+
+
 @pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
 def test_classifiers_without_labels(spark, operator):
     docs, labels = labelled(spark, 10)
