@@ -74,23 +74,28 @@ class Tile:
 
 def compare(x: Tile, y: Tile, same: bool, threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of pairs that are links, and of pairs in doubt (in order where a tile meets itself)."""
-    # products of int8 values add up exactly in 32-bit floats for up to 1,000 dimensions
-    kind = np.float32 if x.q.shape[1] <= 1000 else np.float64
-    other = y.q.astype(kind).T
+    # one bound for the whole tile, and one for single precision, rule out most pairs by a single product
+    dims = x.q.shape[1]
+    floor = np.float32(threshold - x.error.max() * y.norm.max() - y.error.max() - MARGIN - dims * 2.0**-22 - 1e-6)
+    other = (y.q / y.scale[:, None]).astype(np.float32).T
     sure: list[tuple] = []
     doubt: list[tuple] = []
     for at in range(0, len(x.q), block):
-        part = slice(at, at + block)
-        cosine = (x.q[part].astype(kind) @ other) / (x.scale[part, None] * y.scale[None, :])
-        bound = x.error[part, None] * y.norm[None, :] + (y.error[None, :] + MARGIN)
-        i, j = np.nonzero(cosine + bound >= threshold)
+        part = (x.q[at : at + block] / x.scale[at : at + block, None]).astype(np.float32)
+        i, j = np.nonzero(part @ other >= floor)
+        i = i + at
         if same:
-            on = i + at < j
-            i, j = i[on], j[on]
-        yes = cosine[i, j] - bound[i, j] >= threshold
-        sure.append((i[yes] + at, j[yes]))
-        doubt.append((i[~yes] + at, j[~yes]))
-    return tuple(np.concatenate([p[k] for p in found]) for found in (sure, doubt) for k in (0, 1))
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            cosine = np.einsum("ij,ij->i", x.q[a].astype(np.int64), y.q[b].astype(np.int64)) / (x.scale[a] * y.scale[b])
+            bound = x.error[a] * y.norm[b] + y.error[b] + MARGIN
+            yes = cosine - bound >= threshold
+            maybe = ~yes & (cosine + bound >= threshold)
+            sure.append((a[yes], b[yes]))
+            doubt.append((a[maybe], b[maybe]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *[p[k] for p in found]]).astype(np.int64) for found in (sure, doubt) for k in (0, 1))
 
 
 def tiles_of(distinct: DataFrame, tile: int) -> tuple[DataFrame, int]:
