@@ -40,12 +40,19 @@ def typed(rows: DataFrame, labels: dict[str, str], label: str = "label") -> Data
     return rows.join(F.broadcast(table), F.col(label) == F.col("_label"), "left").drop("_label").withColumn("type", F.coalesce("type", F.lit("OTHER")))
 
 
-def active_labels(rows: DataFrame, custom: list[str]) -> list[str]:
+def active_labels(custom: list[str]) -> list[str]:
     """Default labels and custom ones, trimmed and in lower case, each once, without blanks."""
     own = [c.strip().lower() for c in custom]
     return list(dict.fromkeys([*SPAN_LABELS, *[c for c in own if c]]))
 
 
+def active_label_rows(custom: DataFrame) -> DataFrame:
+    """label, origin (default or custom): the same for a column ``label`` of custom ones."""
+    own = custom.select(S.trimmed(F.lower("label")).alias("label")).filter("label <> ''").distinct().filter(~F.col("label").isin(*SPAN_LABELS))
+    base = custom.sparkSession.createDataFrame([(x,) for x in SPAN_LABELS], "label string")
+    return base.withColumn("origin", F.lit("default")).unionByName(own.withColumn("origin", F.lit("custom")))
+
+
 def fixed_chunks(n: Column, size: int = WORDS_PER_CHUNK, overlap: int = WORD_OVERLAP) -> Column:
     """First words of chunks of a text of n words: a stride of size - overlap, until a chunk reaches the end."""
     stride = size - overlap

@@ -367,6 +367,35 @@ def remove_and_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.removed(rows, rows.filter("idx % 2 = 1").select("doc_id", "idx")).select("doc_id", "idx", "start", "end", "value")
 
 
+# After an exclusion the session is built anew, so numbers close up
+@query(sql.redacted(DOCS, sql.numbered(f"SELECT * FROM ({_PLACED}) WHERE idx % 2 = 0")))
+def rebuild_after_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = several(spark, sf_dir)
+    rows = corpus.exploded(docs)
+    left = corpus.collected(corpus.excluded(rows, rows.filter("idx % 2 = 1").select("doc_id", "idx")), order="idx")
+    out = corpus.redacted(docs.drop("spans").join(left, "doc_id", "left").withColumn("spans", F.coalesce("spans", S.none(S.SPAN))))
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
+
+
+# O3: spans of a model stand-in, the first twelve characters and twenty later ones, united with those of rules
+_SCORED = f"""SELECT doc_id, -1 AS ord, 0 AS i, 0 AS s, 12 AS e, 'PERSON' AS type, substr(text, 1, 12) AS value, 0.8::DOUBLE AS confidence, 'model' AS detector FROM ({DOCS}) WHERE length(text) >= 12
+UNION ALL SELECT doc_id, -1, 1, 6, 40, 'COMPANY', substr(text, 7, 34), 0.6::DOUBLE, 'model' FROM ({DOCS}) WHERE length(text) >= 40
+UNION ALL SELECT doc_id, -1, 2, 50, 70, 'ADDRESS', substr(text, 51, 20), 0.7::DOUBLE, 'model' FROM ({DOCS}) WHERE length(text) >= 70"""
+
+
+@query(f"""
+SELECT doc_id, s AS start, e AS "end", type, value, confidence, detector
+FROM ({sql.resolved(f"SELECT doc_id, ord, i, s, e, type, value, confidence, detector FROM ({SOME}) UNION ALL {_SCORED}")})""")
+def model_and_rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def span(start: int, end: int, kind: str, confidence: float):
+        cells = {"start": F.lit(start), "end": F.lit(end), "type": F.lit(kind), "value": F.substring("text", start + 1, end - start), "confidence": F.lit(confidence), "detector": F.lit("model"), "ord": F.lit(0)}
+        return F.when(F.length("text") >= end, F.array(F.struct(*[v.alias(k) for k, v in cells.items()]))).otherwise(S.none(S.SPAN))
+
+    scored = F.concat(span(0, 12, "PERSON", 0.8), span(6, 40, "COMPANY", 0.6), span(50, 70, "ADDRESS", 0.7))
+    docs = texts(spark, sf_dir).withColumn("scored", scored)
+    return corpus.exploded(corpus.detected(docs, SEVERAL, model="scored", propagated=False)).drop("idx")
+
+
 @query(f"SELECT doc_id, s AS start, value, CASE WHEN n <= 2 THEN '<<REDACTED_' || n || '>>' ELSE '—' END AS placeholder FROM ({NUMBERED})")
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.exploded(several(spark, sf_dir))
@@ -645,7 +674,23 @@ def segment_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.overlaps(placed, cut_rows(placed)).select("doc_id", "paragraph", "seq", "start", "end")
 
 
-@query()
+# character by character: what no span covers stays in its run, a span's placeholder stands in its first run, and a run
+# that a span reaches from an earlier one gives all it has to the run where the chain of such spans begins
+_REWRITTEN = f"""
+WITH f AS (SELECT *, flat_end - length(text) AS flat_start FROM ({_FLAT})), c AS ({_CUTS}),
+touched AS (SELECT f.doc_id, paragraph, seq, start, placeholder, row_number() OVER (PARTITION BY f.doc_id, start ORDER BY paragraph, seq) AS nth
+            FROM f JOIN c ON f.doc_id = c.doc_id AND flat_end > start AND flat_start < "end"),
+letters AS (SELECT doc_id, paragraph, seq, flat_start + k AS p, substr(text, k + 1, 1) AS x FROM (SELECT *, unnest(range(0, length(text))) AS k FROM f)),
+left_over AS (SELECT l.doc_id, l.paragraph, l.seq, l.p, l.x FROM letters l ASOF LEFT JOIN c ON l.doc_id = c.doc_id AND l.p >= c.start WHERE c."end" IS NULL OR l.p >= c."end"),
+body AS (SELECT doc_id, paragraph, seq, string_agg(x, '' ORDER BY p) AS body
+         FROM (SELECT * FROM left_over UNION ALL SELECT doc_id, paragraph, seq, start, placeholder FROM touched WHERE nth = 1) GROUP BY ALL),
+runs AS (SELECT doc_id, paragraph, seq, coalesce(body, '') AS body, EXISTS (SELECT 1 FROM touched t WHERE t.doc_id = f.doc_id AND t.paragraph = f.paragraph AND t.seq = f.seq AND nth > 1) AS gives
+         FROM f LEFT JOIN body USING (doc_id, paragraph, seq)),
+chains AS (SELECT *, sum((NOT gives)::INT) OVER (PARTITION BY doc_id ORDER BY paragraph, seq) AS head FROM runs)
+SELECT doc_id, paragraph, seq, CASE WHEN gives THEN '' ELSE (SELECT string_agg(y.body, '' ORDER BY y.paragraph, y.seq) FROM chains y WHERE y.doc_id = x.doc_id AND y.head = x.head) END AS text FROM chains x"""
+
+
+@query(_REWRITTEN)
 def rewrite_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = segments.flattened(run_rows(spark, sf_dir))[1]
     return segments.rewritten(placed, cut_rows(placed)).select("doc_id", "paragraph", "seq", "text")
@@ -665,6 +710,18 @@ def session_across_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.session_numbers(found, old, ["doc_id", "start"])
 
 
+# The model's labels and those that users add, here the market segments and part types
+_DEFAULTS = " UNION ALL ".join(f"SELECT '{x}' AS label" for x in decode.SPAN_LABELS)
+
+
+@query(f"""
+SELECT label, CASE WHEN label IN (SELECT label FROM ({_DEFAULTS})) THEN 'default' ELSE 'custom' END AS origin
+FROM (SELECT label FROM ({_DEFAULTS}) UNION SELECT lower(trim(c_mktsegment)) FROM customer UNION SELECT lower(trim(p_type)) FROM part) WHERE label <> ''""")
+def active_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label")).unionByName(table(spark, sf_dir, "part").select(F.col("p_type").alias("label")))
+    return decode.active_label_rows(own)
+
+
 # T3, and the file helpers
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:

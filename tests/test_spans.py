@@ -115,7 +115,7 @@ def test_chunks(spark):
             at += 110
             want.append(at)
         assert r["c"] == want
-    assert decode.active_labels(None, [" Shoe ", "", "person name"])[-1] == "shoe"
+    assert decode.active_labels([" Shoe ", "", "person name"])[-1] == "shoe"
 
 
 def test_session_numbers_go_on(spark):
