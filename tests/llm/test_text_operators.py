@@ -242,3 +242,24 @@ def test_repeats_against_brute_force(spark):
         for r in suffix_dedup.repeats(df, window=40, slice_rows=slice_rows).collect():
             got[r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
         assert got == want
+
+
+def test_texts_beyond_a_slice(spark):
+    """A text of more bytes than a task takes at a time is a slice of its own."""
+    from maskwell.llm import minhash, textkit
+
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choices("abcdefghé", k=rng.randint(2, 9))) for _ in range(520_000))
+    assert len(text.encode()) > textkit.SLICE_BYTES
+    passage = "".join(rng.choices("mnopqr ", k=1000))
+    other = text[:1_000_000].replace("a", "b") + passage
+    docs = spark.createDataFrame([(1, text + passage), (2, other), (3, text[:-30] + " new words"), (4, "short")], "doc_id long, text string")
+    sp, library = sentencepiece.SentencePieceProcessor(model_file=MODEL), Tokenizer.from_file(JSON)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, MODEL).collect()} == {i: len(sp.encode(t)) for i, t in rows.items()}
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.packing(docs, JSON, RANKS).collect()} == {i: 1 + len(library.encode(t).ids) for i, t in rows.items()}
+    removed = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.repeats(docs).collect()}
+    assert removed[2] == 1000 and removed[4] == 0 and removed[1] == len(text[:-30].encode()) + 1000 and removed[3] == len(text[:-30].encode())
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_dedup(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    encoded = [r for r in sp_codec.encode(docs.filter("doc_id = 2"), MODEL).orderBy("chunk").collect()]
+    assert [x for r in encoded for x in r["ids"]] == sp.encode(other)
