@@ -1,38 +1,46 @@
-"""Quality scores by co-training: a classifier of the text and one of the page metadata teach each other.
+"""Quality scores by co-training: a naive Bayes classifier of the text and one of the page metadata teach each other.
 
-The text view sees how a text is written (shares of capitals, punctuation, table bars, digits, repeated words and
-lines, word lengths); the metadata view sees language, source and recorded length. Both start from the labelled
-documents. Every round each view, calibrated on labelled rows kept aside, hands the other its most confident
-answers on unlabelled documents as pseudo-labels, as many of each kind as the labels' proportions ask for. In the
-end both are calibrated again and their log odds are combined by a small regression on the rows kept aside.
+The text view sees content (words and pairs of words in a row, hashed to 2**16 cells) and form (12 measures in bins: shares
+of capitals, punctuation, table bars, digits, repeated words and lines, lengths). The metadata view sees language, source,
+both together and recorded length, each value hashed to a cell of its own. A class's counts of cells are all that a view
+learns, so Spark adds them up over all documents and only their sums, whose number is fixed, reach the driver.
 
-Training uses about ``train_rows`` labelled and ``pool_rows`` unlabelled documents at most (bounded samples by a hash
-of the key); every document is scored. The ``kinds`` (64) commonest values of lang and of source among labelled rows are
-told apart, rarer ones share 16 cells by hash.
+Both views start from the labelled documents. In every round each view, calibrated on labelled rows kept aside, labels all
+documents of the corpus that it is sure of for the other, which counts them beside the labelled ones; all pseudo-labels of
+a class weigh no more than its labelled rows. In the end both are calibrated again and their log odds are combined by a
+small regression on labelled rows that neither training nor calibration has seen.
+
+Labelled rows are a sample by a hash of the key, about ``train_rows`` at most; everything else reads all documents. A
+document's cells are stored once, and the rounds read those.
 
 Defined results: null texts are empty, null metadata is a value of its own; without labels, or with one kind of
 label only, the score is the labels' share (0.5 without any); repeated rows are scored each; an empty table gives an
-empty result; null labels don't train; other columns,
-whatever their names, are not read.
+empty result; null labels don't train; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm import logistic, textkit
 from maskwell.llm.common import stored, whole_text
 from maskwell.llm.toxicity import held_out
 
-WIDTH = 12
+WORDS = 1 << 16  # cells of words and of pairs
+WIDTH = 12  # measures of form
+BINS = 32  # of each measure
+KINDS = 4  # values of metadata
+META = 1 << 12  # cells of those
+FORM_AT = WORDS
+META_AT = FORM_AT + WIDTH * BINS
+TOTALS = META_AT + META  # documents counted by the text view, by the metadata view
+CELLS = TOTALS + 2
 
 
 def per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -51,8 +59,8 @@ def tokens(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start, np.flatnonzero(inside & (~after | last)) + 1
 
 
-def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The features of every text of a slice."""
+def form(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The measures of every text of a slice."""
     n = np.maximum(1, np.diff(off))
     upper = (buf >= 65) & (buf <= 90) | (buf == 0xC3) & np.concatenate([(buf[1:] >= 0x80) & (buf[1:] <= 0x9E), [False]])[: len(buf)]
     digit = (buf >= 48) & (buf <= 57)
@@ -81,152 +89,227 @@ def text_view(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.column_stack([
         size, per_text(upper, off) / n, per_text(mark, off) / n, per_text(double, off) / n, per_text(digit, off) / n, per_text(buf == 124, off) / n,
         distinct, distinct * size, letters / np.maximum(1, words), again / np.maximum(1, words), lines / n * 100, other_lines / np.maximum(1, lines),
-    ])
+    ]).astype(np.float32)
+
+
+def content(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells of every text's words and pairs of words in a row, ASCII letters in lower case; and where each
+    text's cells begin."""
+    low = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+    start, end = tokens(low > 32, off)
+    doc = np.repeat(np.arange(len(off) - 1), textkit.owners(off, start))
+    one = textkit.Hasher(low).of(start, end)
+    two = textkit.mix(one[:-1] * np.uint64(3) + one[1:])
+    within = doc[1:] == doc[:-1]
+    cell = (np.concatenate([one, two[within]]) >> np.uint64(48)).astype(np.int64)
+    both = np.unique((np.concatenate([doc, doc[1:][within]]) << 16) | cell)
+    return both & (WORDS - 1), np.searchsorted(both >> 16, np.arange(len(off)))
 
 
-def featured(docs: DataFrame, key: str, text: str, extra: list[str]) -> DataFrame:
-    """id, extra columns, x (the text view)."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*extra).schema)
+def metadata() -> Column:
+    """The cells of a row's metadata; xxhash64 passes over nulls, which so get a cell of their own."""
+    length = F.col("n_chars").cast("long")
+    size = F.floor(F.log2(F.when(length > 0, length).when(length <= 0, 0) + 1) * 2)
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    return F.array(*(F.pmod(F.xxhash64(F.lit(name), *values), F.lit(META)).cast("int") for name, *values in (("lang", lang), ("source", source), ("n_chars", size), ("both", F.to_json(F.struct(lang.alias("l"), source.alias("s")))))))
+
+
+def featured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, words (distinct cells, two bytes each), form, meta: what the views see of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, buf, off in textkit.slices(batch.column(1)):
-                part = batch.slice(row, end - row)
-                x = pa.FixedSizeListArray.from_arrays(pa.array(text_view(buf, off).ravel()), WIDTH).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(2 + k) for k in range(len(extra))), x], ["id", *extra, "x"])
+                cell, at = content(buf, off)
+                raw = cell.astype("<u2").tobytes()
+                words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - row, [None, pa.py_buffer((at * 2).astype("<i8").tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+                measures = pa.FixedSizeListArray.from_arrays(pa.array(form(buf, off).ravel()), WIDTH).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), words, measures, batch.column(2).slice(row, end - row)], ["id", "words", "form", "meta"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"), *extra).mapInArrow(run, f"id long, {schema}, x array<double>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"), metadata().alias("meta"))
+    return rows.mapInArrow(run, "id long, words binary, form array<float>, meta array<int>")
 
 
 @dataclass
-class View:
-    """A standardised logistic classifier with squares, and its calibration."""
+class Seen:
+    """A batch of featured documents: cells of all words, where each document's begin, cells of measures and metadata."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray | None = None
-    slope: float = 1.0
-    offset: float = 0.0
+    words: np.ndarray
+    at: np.ndarray
+    form: np.ndarray
+    meta: np.ndarray
 
-    def widen(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.column_stack([z, z * z])
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.widen(x) @ self.weights[:-1] + self.weights[-1]
+def seen(batch: pa.RecordBatch, edges: np.ndarray) -> Seen:
+    words = batch.column("words").cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    measures = batch.column("form").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    bins = np.column_stack([FORM_AT + k * BINS + np.searchsorted(edges[k], measures[:, k], "right") for k in range(WIDTH)])
+    meta = batch.column("meta").flatten().to_numpy(zero_copy_only=False).reshape(-1, KINDS)
+    return Seen(raw.view("<u2").astype(np.int64), (at - at[0]) // 2, bins, META_AT + meta)
 
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * self.raw(x) + self.offset
-
-    def learn(self, x: np.ndarray, y: np.ndarray, aside_x: np.ndarray, aside_y: np.ndarray) -> None:
-        self.weights = logistic.fit(self.widen(x), y)
-        self.slope, self.offset = logistic.platt(self.raw(aside_x), aside_y)
 
+@dataclass
+class View:
+    """The calibration of a view: a regression on its log-count ratios."""
 
-def view_of(x: np.ndarray) -> View:
-    scale = x.std(0)
-    return View(x.mean(0), np.where(scale > 1e-9, scale, 1.0))
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
 
+    @classmethod
+    def fit(cls, x: np.ndarray, y: np.ndarray) -> View:
+        mean, scale = x.mean(0), x.std(0)
+        scale = np.where(scale > 1e-9, scale, 1.0)
+        return cls(mean, scale, logistic.fit(np.clip((x - mean) / scale, -6, 6), y))
 
-def codes(values: pa.Array, known: list[str], cells: int) -> np.ndarray:
-    """The place of each value: one of its own if known, else one of the cells by hash, and one for null."""
-    place = {v: k for k, v in enumerate(known)}
-    coded = values.cast(pa.string()).dictionary_encode()
-    of = [place.get(v, len(known) + zlib.crc32(v.encode()) % cells) for v in coded.dictionary.to_pylist()]
-    return np.array([*of, len(known) + cells])[coded.indices.fill_null(len(of)).to_numpy(zero_copy_only=False)]
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights[:-1] + self.weights[-1]
 
 
-def metadata_view(rows: pa.Table | pa.RecordBatch, categories: dict[str, list[str]], cells: int = 16) -> np.ndarray:
-    """Indicators of language and source, and the recorded length."""
-    out = [np.eye(len(known) + cells + 1)[codes(chunk(rows, c), known, cells)] for c, known in categories.items()]
-    size = chunk(rows, "n_chars")
-    return np.column_stack([*out, np.log1p(np.maximum(0, size.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))), size.is_null().to_numpy(zero_copy_only=False)])
+@dataclass
+class Model:
+    edges: np.ndarray  # of the bins of each measure
+    ratios: np.ndarray  # of each cell
+    views: tuple[View, View] | None = None  # text, metadata
+    mixed: np.ndarray = field(default_factory=lambda: np.zeros(3))  # of the two log odds, and an offset
+    rounds: list[tuple[int, int]] = field(default_factory=list)  # pseudo-labels that text and metadata gave in each round
 
+    def inputs(self, docs: Seen) -> tuple[np.ndarray, np.ndarray]:
+        """The log-count ratios that the two views go by."""
+        n = np.maximum(1, np.diff(docs.at))
+        words = per_text(self.ratios[docs.words], docs.at)
+        return np.column_stack([words / n, words / np.sqrt(n), self.ratios[docs.form]]), self.ratios[docs.meta]
 
-def chunk(rows: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
-    column = rows.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    def log_odds(self, docs: Seen) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(view.log_odds(x) for view, x in zip(self.views, self.inputs(docs), strict=True))
 
+    def combined(self, docs: Seen) -> np.ndarray:
+        z = np.full(len(docs.form), self.mixed[-1])
+        if self.views:
+            text, meta = self.log_odds(docs)
+            z = z + self.mixed[0] * text + self.mixed[1] * meta
+        return z
 
-@dataclass
-class Model:
-    text: View | None
-    metadata: View | None
-    categories: dict[str, list[str]]
-    mixed: np.ndarray  # of the two log odds, and an offset
-    rounds: list[tuple[int, int]]  # pseudo-labels that each view gave in each round
 
+def counted(rows: DataFrame, edges: np.ndarray, label: Callable[[pa.RecordBatch, Seen], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How many documents of label 0 and of label 1 hold each cell. ``label`` gives the labels that count for the text view
+    and for the metadata view, -1 for none."""
 
-def co_train(labelled: list, pool: list, rounds: int = 5, share: float = 0.05, sure: float = 0.95, kinds: int = 64) -> Model:
-    """labelled: rows with y; pool: rows without. Every fourth labelled row is kept aside, by turns for the calibration of
-    the views and for their combination."""
-    y = np.array([r["y"] for r in labelled], float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, CELLS), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = seen(batch, edges)
+            for_text, for_meta = label(batch, docs)
+            of_word = np.repeat(for_text, np.diff(docs.at))
+            for k in (0, 1):
+                text, meta = for_text == k, for_meta == k
+                for cells in (docs.words[of_word == k], docs.form[text].ravel(), docs.meta[meta].ravel()):
+                    counts[k] += np.bincount(cells, minlength=CELLS)
+                counts[k, TOTALS] += text.sum()
+                counts[k, TOTALS + 1] += meta.sum()
+        cell = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[0, cell]), pa.array(counts[1, cell])], ["cell", "zeros", "ones"])
+
+    sums = rows.mapInArrow(run, "cell long, zeros long, ones long").groupBy("cell").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    out = np.zeros((2, CELLS))
+    for k, name in enumerate(("zeros", "ones")):
+        out[k, sums.column("cell").to_numpy()] = sums.column(name).to_numpy()
+    return out
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """The log ratio of how often documents of label 1 and of label 0 hold each cell."""
+    of = np.repeat(counts[:, TOTALS:], [META_AT, CELLS - META_AT], axis=1)
+    share = (counts + 1) / (of + 2)
+    return np.log(share[1]) - np.log(share[0])
+
+
+def taught(labelled: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Counts of labelled rows and of pseudo-labels, which together weigh as much as a class's labelled rows at most."""
+    weight = np.minimum(1, labelled[:, TOTALS:] / np.maximum(1, given[:, TOTALS:]))
+    return labelled + given * np.repeat(weight, [META_AT, CELLS - META_AT], axis=1)
+
+
+def picked(labels: DataFrame, train_rows: int, key: str, label: str) -> DataFrame:
+    """_key, y, turn of the labelled rows that train; turn 6 is kept for calibrating, turn 7 for combining."""
+    usable = labels.filter(F.col(label).isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"))
+    share = min(1.0, train_rows / max(1, usable.count()))
+    part = F.pmod(F.xxhash64("_key", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))
+    return usable.filter(part).withColumn("turn", F.pmod(F.xxhash64("_key", F.lit("turn")), F.lit(8)).cast("int"))
+
+
+def train(features: DataFrame, labels: DataFrame, train_rows: int = 20_000, rounds: int = 3, sure: float = 0.95, key: str = "doc_id", label: str = "quality") -> Model:
+    """Co-train on featured documents, best a stored table: every round reads all of them."""
+    rows = stored(features.join(F.broadcast(picked(labels, train_rows, key, label)), F.col("id") == F.col("_key")).drop("_key"), "quality-train")
+    small = rows.select("form", "y", "turn").toArrow()
+    y, turn = (small.column(c).to_numpy() for c in ("y", "turn"))
+    no_edges = np.zeros((WIDTH, BINS - 1))
     if len(y) == 0 or y.min() == y.max():
         prior = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
-        return Model(None, None, {}, np.array([0.0, 0.0, np.log(prior / (1 - prior))]), [])
-    categories = {c: [v for v, _ in sorted(Counter(r[c] for r in labelled if r[c] is not None).items(), key=lambda x: (-x[1], x[0]))[:kinds]] for c in ("lang", "source")}
-    columns = lambda rows: pa.table({c: pa.array([r[c] for r in rows], k) for c, k in (("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))})
-    views = {"text": np.array([r["x"] for r in labelled]), "metadata": metadata_view(columns(labelled), categories)}
-    free = {"text": np.array([r["x"] for r in pool]).reshape(len(pool), WIDTH), "metadata": metadata_view(columns(pool), categories)}
-    turn_of = np.arange(len(y)) % 8
-    own, aside, mixing = turn_of % 4 != 3, turn_of == 3, turn_of == 7
-    if any(not on.any() or y[on].min() == y[on].max() for on in (own, aside, mixing)):
-        own = aside = mixing = np.ones(len(y), bool)
-    models = {k: view_of(v) for k, v in views.items()}
-    given = {k: np.full(len(pool), -1.0) for k in views}  # labels that the other view gave
-    history = []
-    for turn in range(rounds + 1):
-        for k, m in models.items():
-            on = given[k] >= 0
-            m.learn(np.concatenate([views[k][own], free[k][on]]), np.concatenate([y[own], given[k][on]]), views[k][aside], y[aside])
-        if turn == rounds or not len(pool):
-            break
-        counts = []
-        for k, other in (("text", "metadata"), ("metadata", "text")):
-            p = logistic.sigmoid(models[k].log_odds(free[k]))
-            new = 0
-            for label, confidence, part in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                todo = np.flatnonzero((given[other] < 0) & (confidence >= sure))
-                best = todo[np.argsort(-confidence[todo], kind="stable")][: max(1, int(share * part * len(pool)))]
-                given[other][best] = label
-                new += len(best)
-            counts.append(new)
-        history.append((counts[0], counts[1]))
-    both = np.column_stack([m.log_odds(views[k][mixing]) for k, m in models.items()])
-    return Model(models["text"], models["metadata"], categories, logistic.fit(both, y[mixing], penalty=0.1), history)
-
-
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, pool_rows: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    meta = ["lang", "source", "n_chars"]
-    docs = docs.select(key, text, *meta)
-    part = lambda name, share: F.pmod(F.xxhash64(key, F.lit(name)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))
-    known = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
-    usable = known.filter(~held_out(key))
-    picked = usable.filter(part("train", train_rows / max(1, usable.count())))
-    rows = featured(docs.join(F.broadcast(picked), key), key, text, ["lang", "source", "n_chars", "y"])
-    pool = docs.filter(part("pool", pool_rows / max(1, docs.count()))).join(known.select(key), key, "left_anti")
-    seen = stored(rows.unionByName(featured(pool.withColumn("y", F.lit(None).cast("int")), key, text, [*meta, "y"])), "quality-train").orderBy(F.xxhash64("id"), "id").collect()
-    return co_train([r for r in seen if r["y"] is not None], [r for r in seen if r["y"] is None])
-
-
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+        return Model(no_edges, np.zeros(CELLS), mixed=np.array([0.0, 0.0, np.log(prior / (1 - prior))]))
+    measures = small.column("form").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+    edges = np.quantile(measures, np.arange(1, BINS) / BINS, axis=0).T.astype(np.float32)
+    parted = all(len(set(y[on])) == 2 for on in (turn < 6, turn == 6, turn == 7))  # else all rows serve for everything
+
+    def own(batch: pa.RecordBatch, docs: Seen) -> tuple[np.ndarray, np.ndarray]:
+        of = batch.column("y").to_numpy().copy()
+        if parted:
+            of[batch.column("turn").to_numpy() >= 6] = -1
+        return of, of
+
+    def inputs_of(model: Model, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.column_stack(model.inputs(seen(batch, edges)))
+                    yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+
+        aside = rows.filter(F.col("turn") == turn) if parted else rows
+        got = aside.mapInArrow(run, "y int, x array<double>").toArrow()
+        x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, -1)
+        return x[:, :-KINDS], x[:, -KINDS:], got.column("y").to_numpy().astype(float)
+
+    def learned(counts: np.ndarray) -> Model:
+        model = Model(edges, log_ratios(counts))
+        text, meta, truth = inputs_of(model, 6)
+        model.views = View.fit(text, truth), View.fit(meta, truth)
+        return model
+
+    labelled = counted(rows, edges, own)
+    model, history, limit = learned(labelled), [], np.log(sure / (1 - sure))
+    for _ in range(rounds):
+
+        def confident(batch: pa.RecordBatch, docs: Seen, model: Model = model) -> tuple[np.ndarray, np.ndarray]:
+            by_text, by_meta = (np.where(z >= limit, 1, np.where(z <= -limit, 0, -1)) for z in model.log_odds(docs))
+            return by_meta, by_text
+
+        given = counted(features, edges, confident)
+        history.append((int(given[:, TOTALS + 1].sum()), int(given[:, TOTALS].sum())))
+        model = learned(taught(labelled, given))
+    text, meta, truth = inputs_of(model, 7)
+    model.mixed = logistic.fit(np.column_stack([model.views[0].log_odds(text), model.views[1].log_odds(meta)]), truth, penalty=0.1)
+    model.rounds = history
+    return model
+
+
+def score(features: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, score: the combined, calibrated probability of good quality."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, buf, off in textkit.slices(batch.column(1)):
-                part = batch.slice(row, end - row)
-                z = np.full(end - row, model.mixed[-1])
-                if model.text is not None:
-                    z = z + model.mixed[0] * model.text.log_odds(text_view(buf, off)) + model.mixed[1] * model.metadata.log_odds(metadata_view(part, model.categories))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic.sigmoid(z))], ["id", "score"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(logistic.sigmoid(model.combined(seen(batch, model.edges))))], ["id", "score"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"), "lang", "source", "n_chars")
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", key)
+    return features.mapInArrow(run, "id long, score double").withColumnRenamed("id", key)
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """One row per document: key, held_out, score, predicted, kept (predicted = 1)."""
-    model = train(docs, labels, key=key, text=text, **parameters)
+    features = stored(featured(docs, key, text), "quality-features")
+    model = train(features, labels, key=key, **parameters)
     good = F.col("score") >= 0.5
-    return score(docs, model, key, text).select(key, held_out(key).alias("held_out"), "score", good.cast("int").alias("predicted"), good.alias("kept"))
+    return score(features, model, key).select(key, held_out(key).alias("held_out"), "score", good.cast("int").alias("predicted"), good.alias("kept"))

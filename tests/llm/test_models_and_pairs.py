@@ -176,12 +176,67 @@ def test_classifiers_on_an_empty_table_and_other_columns(spark, operator):
     assert {r["doc_id"]: r["score"] for r in operator(more, labels).collect()} == pytest.approx(want)
 
 
-def test_metadata_of_rare_sources_is_not_lost():
-    import pyarrow as pa
+def test_metadata_of_rare_sources_is_not_lost(spark):
+    rows = [("en", "rare", 5), (None, "a", None), (None, None, None), ("en", "a", -3), ("a", None, 0)]
+    got = [r["meta"] for r in spark.createDataFrame(rows, "lang string, source string, n_chars long").select(quality.metadata().alias("meta")).collect()]
+    assert all(len(m) == quality.KINDS and all(0 <= c < quality.META for c in m) for m in got)
+    lang, source, size, both = zip(*got, strict=True)
+    assert [len(set(x)) for x in (lang, source, size, both)] == [3, 3, 3, 5] and size[3] == size[4]
+
+
+def brute_quality(docs, labels, rounds=3, limit=math.log(19)):
+    """The rounds of co-training with dictionaries of counts, over the cells of single texts."""
+    feats = {r["id"]: r for r in quality.featured(docs).collect()}
+    truth = {r["_key"]: (r["y"], r["turn"]) for r in quality.picked(labels, 20_000, "doc_id", "quality").collect() if r["_key"] in feats}
+    edges = np.quantile(np.array([feats[i]["form"] for i in truth], np.float32), np.arange(1, 32) / 32, axis=0).T.astype(np.float32)
+    words = {i: sorted({int.from_bytes(f["words"][k : k + 2], "little") for k in range(0, len(f["words"]), 2)}) for i, f in feats.items()}
+    measures = {i: [(k, sum(e <= np.float32(v) for e in edges[k])) for k, v in enumerate(f["form"])] for i, f in feats.items()}
+    cells = {i: ([("w", c) for c in words[i]] + [("f", *m) for m in measures[i]], [("m", c) for c in feats[i]["meta"]]) for i in feats}
+
+    def count(given):
+        sums = [collections.Counter(), collections.Counter()], [0, 0]
+        for i, y in given:
+            sums[0][y].update(cells[i][count.view])
+            sums[1][y] += 1
+        return sums
+
+    def ratio(view, labelled, given):
+        count.view = view
+        (a, n), (b, m) = count(labelled), count(given)
+        weight = [min(1, n[k] / max(1, m[k])) for k in (0, 1)]
+        share = lambda c, k: (a[k][c] + weight[k] * b[k][c] + 1) / (n[k] + weight[k] * m[k] + 2)
+        return lambda c: math.log(share(c, 1)) - math.log(share(c, 0))
+
+    own = [(i, y) for i, (y, turn) in truth.items() if turn < 6]
+    given = [[], []]
+    for turn in range(rounds + 1):
+        text, meta = ratio(0, own, given[0]), ratio(1, own, given[1])
+        x = {}
+        for i in feats:
+            total, n = sum(text(("w", c)) for c in words[i]), max(1, len(words[i]))
+            x[i] = [total / n, total / n**0.5, *(text(("f", *m)) for m in measures[i])], [meta(("m", c)) for c in feats[i]["meta"]]
+        aside = [(i, y) for i, (y, t) in truth.items() if t == 6]
+        views = [quality.View.fit(np.array([x[i][k] for i, _ in aside]), np.array([float(y) for _, y in aside])) for k in (0, 1)]
+        odds = {i: [float(views[k].log_odds(np.array([x[i][k]]))[0]) for k in (0, 1)] for i in feats}
+        if turn < rounds:
+            given = [[(i, int(z[1 - k] > 0)) for i, z in odds.items() if abs(z[1 - k]) >= limit] for k in (0, 1)]
+    mixing = [(i, y) for i, (y, t) in truth.items() if t == 7]
+    mixed = logistic.fit(np.array([odds[i] for i, _ in mixing]), np.array([float(y) for _, y in mixing]), penalty=0.1)
+    return {i: 1 / (1 + math.exp(-(mixed[0] * z[0] + mixed[1] * z[1] + mixed[2]))) for i, z in odds.items()}
+
+
+def test_quality_equals_brute_force(spark):
+    docs, labels = labelled(spark)
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    assert got == pytest.approx(brute_quality(docs, labels), abs=1e-6)
+
 
-    rows = pa.table({"lang": ["en", None], "source": ["rare", "a"], "n_chars": pa.array([5, None], pa.int64())})
-    view = quality.metadata_view(rows, {"lang": ["en"], "source": ["a"]})
-    assert view[:, :-2].sum(1).tolist() == [2, 2] and view[:, -1].tolist() == [0, 1]
+def test_quality_words_and_pairs(spark):
+    texts = [(1, "One two two"), (2, "one TWO"), (3, "two one"), (4, None), (5, "w " * 400_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["id"]: {bytes(r["words"][k : k + 2]) for k in range(0, len(r["words"]), 2)} for r in quality.featured(docs).collect()}
+    assert [len(got[i]) for i in range(1, 6)] == [4, 3, 3, 0, 2]
+    assert got[2] < got[1] and len(got[2] & got[3]) == 2
 
 
 @pytest.mark.parametrize("operator", [toxicity.toxicity, quality.quality])
