@@ -46,6 +46,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def looked_up(rows: DataFrame, on: str, table: DataFrame, total: int, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows joined to a table with one row a key at most; keys are not null. Keys that hold more than a thousandth of
+    the ``total`` rows, so fewer than a thousand keys, meet a broadcast copy of their rows of the table and aren't shuffled.
+    ``also``: further columns that have to be equal, where ``on`` is but a hash of them."""
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > total / 1000)
+    hot = [r[0] for r in counts.select(on).collect()]
+    if not hot:
+        return rows.join(table, [on, *also], how)
+    few = F.col(on).isin(hot)
+    return rows.filter(few).join(F.broadcast(table.filter(few)), [on, *also], how).unionByName(rows.filter(~few).join(table.filter(~few), [on, *also], how))
+
+
 def whole_text(text: str = "text") -> Column:
     """The text column as an operator sees it: null counts as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import stored
+from maskwell.llm.common import looked_up, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,19 +15,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round, each node takes the smallest label among its own, its neighbours' and its label's label; a round
     is written to the shared folder, so lineage stays short. Ends when no label changes. Hooking by the labels'
     labels halves long chains, so rounds grow with the logarithm of a component's diameter in the common case.
+    Labels of giant components and hubs with very many links are broadcast, fewer than a thousand rows a join.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y")
     both = stored(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "labels")
+    links, nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("y"), "component"), "y").groupBy("x").agg(F.min("component").alias("m"))
+        told = looked_up(both, "y", labels.select(F.col("node").alias("y"), "component"), links)
+        near = told.groupBy("x").agg(F.min("component").alias("m"))
         # a node also tells its old label's root what it has found, so that whole trees move at once
-        found = labels.join(near, labels["node"] == near["x"]).select("node", "component", F.least("component", "m").alias("low"))
-        roots = found.groupBy("component").agg(F.min("low").alias("root_low")).withColumnRenamed("component", "root")
-        hooked = found.join(roots, found["component"] == roots["root"], "left").select("node", F.col("component").alias("old"), F.least("low", "root_low").alias("component"))
-        step = stored(hooked, "labels")
-        jump = step.select(F.col("node").alias("up"), F.col("component").alias("up_label"))
-        new = stored(step.join(jump, step["component"] == jump["up"], "left").select("node", "old", F.least("component", F.coalesce("up_label", "component")).alias("component")), "labels")
+        found = stored(labels.join(near, labels["node"] == near["x"]).select("node", "component", F.least("component", "m").alias("low")), "labels")
+        roots = found.groupBy("component").agg(F.min("low").alias("root_low"))
+        hooked = looked_up(found, "component", roots, nodes)
+        step = stored(hooked.select("node", F.col("component").alias("old"), F.least("low", "root_low").alias("component")), "labels")
+        jump = step.select(F.col("node").alias("component"), F.col("component").alias("up_label"))
+        hopped = looked_up(step, "component", jump, nodes, "left")
+        new = stored(hopped.select("node", "old", F.least("component", F.coalesce("up_label", "component")).alias("component")), "labels")
         if new.filter("component <> old").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

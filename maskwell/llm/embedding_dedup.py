@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import shuffle_partitions, stored
+from maskwell.llm.common import looked_up, shuffle_partitions, stored
 from maskwell.llm.components import components, forest
 
 EMPTY = len(zstandard.compress(b""))
@@ -195,8 +195,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int = 2048, k
     numbers = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "id")
     of = distinct.join(numbers, "id", "left").join(labels, "id", "left")
     of = of.select("v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    rows = rows.withColumn("v", F.when(F.col("id").isNotNull(), F.col("v")))
-    out = rows.join(of, "v", "left").select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    hashed = F.xxhash64("v").alias("h")
+    rows = rows.withColumn("v", F.when(F.col("id").isNotNull(), F.col("v"))).select("*", hashed)
+    out = looked_up(rows, "h", of.select("*", hashed), rows.count(), "left", also=("v",)).select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 

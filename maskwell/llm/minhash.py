@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm import textkit
-from maskwell.llm.common import shuffle_partitions, stored, whole_text
+from maskwell.llm.common import looked_up, shuffle_partitions, stored, whole_text
 from maskwell.llm.components import components, forest
 from maskwell.llm.token_counts import from_planes, planes
 
@@ -441,10 +441,10 @@ def near_dedup(docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: in
     members = stored(members, "near-documents")
     # the smallest key and the number of a word sequence's documents, then of a class
     texts = members.groupBy("seq").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
-    texts = texts.join(labels, "seq", "left").withColumn("component", F.coalesce("component", "seq"))
+    texts = stored(texts.join(labels, "seq", "left").withColumn("component", F.coalesce("component", "seq")), "near-texts")
     of_class = texts.groupBy("component").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    by_seq = stored(texts.join(of_class, "component").select("seq", "class_id", "class_size"), "near-classes")
-    return members.join(by_seq, "seq").select(F.col("id").alias(key), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    by_seq = stored(looked_up(texts, "component", of_class, texts.count()).select("seq", "class_id", "class_size"), "near-classes")
+    return looked_up(members, "seq", by_seq, members.count()).select(F.col("id").alias(key), "class_id", "class_size", F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
 def keep_rows(docs: DataFrame, threshold: float = 0.8, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwell.llm import textkit
-from maskwell.llm.common import shuffle_partitions, stored, whole_text
+from maskwell.llm.common import looked_up, shuffle_partitions, stored, whole_text
 
 GRAM = 100
 WINDOWS = "range int, firsts binary, seconds binary, ids binary, places binary, numbers binary"
@@ -381,13 +381,13 @@ def repeats(docs: DataFrame, window: int = 400, slice_rows: int = 1000, shards:
     named = docs.select(F.col(key).alias("id"), whole_text(text).alias("text")).select("id", "text", F.unhex(F.sha2("text", 256)).alias("doc"))
     found = stored(found_anchors(named.select("doc", "text"), window), "anchors")
     number = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    lists = found.join(number, "anchor", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("found"))
+    lists = looked_up(found, "anchor", number, found.count()).groupBy("doc").agg(F.collect_set(F.struct("low", "high", "anchor")).alias("found"))
     own = packed(named.select("doc", "text")).groupBy("doc").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies"))
     texts = stored(own.join(lists, "doc").select("doc", "raw", "copies", "found"), "texts")
     held = stored(stretches(texts, window), "stretches")
     rows = held.select("stretch", "anchor", "body", "number")
     many = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > slice_rows).select("anchor", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "many-slices")
-    sliced = rows.join(many, "anchor").withColumn("slice", F.pmod(F.xxhash64("stretch"), F.col("slices")).cast("int"))
+    sliced = looked_up(rows, "anchor", many, rows.count()).withColumn("slice", F.pmod(F.xxhash64("stretch"), F.col("slices")).cast("int"))
     ranges = by_anchor(rows.join(many, "anchor", "left_anti"), 4 * partitions, window, shards).unionByName(by_slice(sliced, 4 * partitions, partitions, window, shards))
     placed = ranges.join(held.select("stretch", F.explode(F.arrays_zip("docs", "lows")).alias("x")), "stretch")
     placed = placed.select(F.col("x.docs").alias("doc"), (F.col("x.lows") + F.col("start")).alias("start"), (F.col("x.lows") + F.col("end")).alias("end"))

@@ -274,3 +274,22 @@ def test_pipeline(spark, tmp_path):
     clean = {r["doc_id"]: r for r in seen["secret_scans"].collect()}
     assert clean[7000]["text"] == "here is <assign> and more words to say for it" and clean[7000]["n_chars"] == len(clean[7000]["text"])
     assert {r["doc_id"] for r in frame.collect()} == set(clean)
+
+
+def test_hot_keys_meet_a_broadcast_copy(spark):
+    from maskwell.llm.common import looked_up
+
+    rows = spark.range(4000).selectExpr("id", "unhex(hex(if(id % 3 = 0, 7, id))) as k", "id % 2 as w")
+    table = rows.groupBy("k").agg({"id": "min"}).withColumnRenamed("min(id)", "low").filter("low % 5 <> 1")
+    for how in ("inner", "left", "left_semi"):
+        got, want = looked_up(rows, "k", table, 4000, how), rows.join(table, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    both = rows.groupBy("k", "w").agg({"id": "max"})
+    got, want = looked_up(rows, "k", both, 4000, "left", also=("w",)), rows.join(both, ["k", "w"], "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
+def test_components_with_a_hub_and_a_chain(spark):
+    edges = [(5000, i) for i in range(1500)] + [(i, i + 1) for i in range(6000, 6300)] + [(7001, 7000)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(1500), 5000]} | {i: 6000 for i in range(6000, 6301)} | {7000: 7000, 7001: 7000}
