@@ -76,13 +76,12 @@ class Side:
         return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(ids, pa.int32()))
 
 
-_sides: dict[tuple, tuple[Side, Side]] = {}
+_sides: dict[tuple, Side] = {}
 
 
-def sides(vocabulary: str, ranks: str, model: str) -> tuple[Side, Side]:
-    """Both tokenizers, kept by the worker process."""
-    if (name := (vocabulary, ranks, model)) not in _sides:
-        import sentencepiece
+def byte_side(vocabulary: str, ranks: str) -> Side:
+    """A byte-level vocabulary, kept by the worker process."""
+    if (name := (vocabulary, ranks)) not in _sides:
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -90,7 +89,16 @@ def sides(vocabulary: str, ranks: str, model: str) -> tuple[Side, Side]:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})
         classes = textkit.Classes(Tokenizer.from_file(vocabulary).pre_tokenizer.pre_tokenize_str)
-        a = Vocabulary(sorted(table, key=table.get))
+        cache = textkit.PieceCache(textkit.one_by_one(fast._core_bpe.encode_single_piece), CACHE_BYTES)
+        _sides[name] = Side(lambda buf, off: textkit.byte_bpe_starts(buf, off, classes), 0, cache, Vocabulary(sorted(table, key=table.get)))
+    return _sides[name]
+
+
+def piece_side(model: str) -> Side:
+    """A piece vocabulary, kept by the worker process."""
+    if (name := (model,)) not in _sides:
+        import sentencepiece
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         if sp.get_piece_size() > 1 << BITS:
             raise ValueError(f"{model} has more than {1 << BITS} pieces")
@@ -103,10 +111,7 @@ def sides(vocabulary: str, ranks: str, model: str) -> tuple[Side, Side]:
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
 
-        _sides[name] = (
-            Side(lambda buf, off: textkit.byte_bpe_starts(buf, off, classes), 0, textkit.PieceCache(textkit.one_by_one(fast._core_bpe.encode_single_piece), CACHE_BYTES), a),
-            Side(word_starts, 1, textkit.PieceCache(pieces, CACHE_BYTES), b),
-        )
+        _sides[name] = Side(word_starts, 1, textkit.PieceCache(pieces, CACHE_BYTES), b)
     return _sides[name]
 
 
@@ -164,7 +169,7 @@ def parts(docs: DataFrame, vocabulary: str, ranks: str, model: str, key: str = "
     """One row for each slice of documents; its number is the task's and the slice's in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(vocabulary, ranks, model)
+        a, b = byte_side(vocabulary, ranks), piece_side(model)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             body = pc.fill_null(batch.column(1).cast(pa.large_string()), EMPTY)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwell.llm import alignment, embedding_dedup, exact_dedup, minhash, packing, quality, secret_scan, sp_codec, suffix_dedup, token_counts, toxicity
+from maskwell.llm import alignment, chat, embedding_dedup, exact_dedup, minhash, packing, quality, secret_scan, sp_codec, spelling, suffix_dedup, token_counts, toxicity
 from maskwell.llm.common import documents
 
 
@@ -53,13 +53,25 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(documents(spark, sf_dir))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    turns = turns.unionByName(spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.windows(turns, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return alignment.alignment(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), path("piece_bpe_32k.model"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op7_sentencepiece, op8_embedding_dedup, op9_quality, op10_minhash_dedup, op13_tokenizer_alignment)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_packing, op4_secret_scans, op5_suffix_dedup, op6_toxicity, op7_sentencepiece, op8_embedding_dedup, op9_quality, op10_minhash_dedup, op11_chat_formatting, op12_spelling_variants, op13_tokenizer_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
