@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens by the byte offsets where both end, on Arrow arrays.
 
-A (byte-level BPE) and B (pieces) encode the same bytes, a space and the text. Slices of a few megabytes of texts become
+A (byte-level BPE) and B (pieces) encode the same bytes, a space and the text. Slices of a megabyte of texts become
 list arrays of ids. Flattened, with the parent index of each element as its document, their tokens' byte lengths are summed
 up within documents; the two tables of token ends meet in a hash join on (document, end). The joined rows are the links and
 cut both sides into groups. A slice counts its pairs of ids by a group-by; Spark adds these partial counts up, finds the
@@ -41,7 +41,7 @@ ARROW_PARTS = pa.schema(
     + [(c, pa.list_(pa.int64())) for c in ("pairs", "counts")]
 )
 ARROW_OUT = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
-CACHE_BYTES = 40 << 20
+CACHE_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 EMPTY, SPACE, COMMA, BAR, SEMICOLON = (pa.scalar(x, pa.large_string()) for x in ("", " ", ",", "|", ";"))
 
 
@@ -174,10 +174,12 @@ def parts(docs: DataFrame, vocabulary: str, ranks: str, model: str, key: str = "
         for batch in batches:
             body = pc.fill_null(batch.column(1).cast(pa.large_string()), EMPTY)
             body = pc.if_else(pc.equal(body, EMPTY), EMPTY, pc.binary_join_element_wise(SPACE, body, EMPTY))
-            for row, end, buf, off in textkit.slices(body):
+            for row, end, buf, off in textkit.slices(body, SLICE_BYTES):
                 made = {"block": block, "ids": batch.column(0)[row:end]} | aligned(buf, off, a, b)
                 yield pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) if f.name == "block" else one_list(made[f.name], f.type) for f in ARROW_PARTS], schema=ARROW_PARTS)
                 block += 1
+                del made
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PARTS)
 
