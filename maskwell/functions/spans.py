@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskwell.functions.selection import by_score
+from maskwell.functions.windows import windows
 from maskwell.rules.base import WHITE, Rule
 from maskwell.rules.catalogue import ORDER
 
 SPAN = "struct<start:int,end:int,type:string,value:string,confidence:double,detector:string,ord:int>"
-TERM = "struct<term:string,type:string>"
-# The characters that may stand around a propagated value, and those that end a word
-BOUNDARY = "[" + WHITE + r".,;:!?()\"'„\-–—/]"
+TERM = "struct<low:string,type:string>"
+# The characters that end a word
 WORD_END = r"[.,;:!?()]+$"
 BLANK = "________"
 
@@ -36,44 +37,105 @@ def blank(text: Column) -> Column:
     return F.coalesce(F.length(trimmed(text)) == 0, F.lit(True))
 
 
-def scan_rule(text: Column, rule: Rule) -> Column:
-    """All matches of a rule, left to right without overlaps; a match that its check rejects still uses up its text."""
+def in_blocks(xs: Column, zero: Column, kind: str, step) -> Column:
+    """A fold that makes at most one element a step: step(state, x) is a struct of state and out (an element, or null for none).
+
+    Elements are gathered in blocks of about the root of the length, so that no long array is copied for every element.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs)))).cast("int")
+    starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), size)).otherwise(F.array().cast("array<int>"))
+
+    def element(acc: Column, x: Column) -> Column:
+        return bound(step(acc["state"], x), lambda y: F.struct(y["state"].alias("state"), F.when(y["out"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(y["out"]))).alias("out")))
+
+    def block(acc: Column, at: Column) -> Column:
+        done = F.aggregate(F.slice(xs, at, size), F.struct(acc["state"].alias("state"), none(kind).alias("out")), element)
+        return bound(done, lambda y: F.struct(y["state"].alias("state"), F.concat(acc["out"], F.array(y["out"])).alias("out")))
+
+    start = F.struct(zero.alias("state"), none(f"array<{kind}>").alias("out"))
+    return F.aggregate(starts, start, block, lambda acc: F.flatten(acc["out"]))
+
+
+def running(sizes: Column) -> Column:
+    """Sums up to each element; none is null."""
+    return bound(sizes, lambda xs: in_blocks(xs, F.lit(0), "int", lambda at, x: F.struct((at + x).cast("int").alias("state"), (at + x).cast("int").alias("out"))))
+
+
+def ends_of(gaps: Column, hits: Column) -> Column:
+    """Where matches end, from the texts before them (and one after the last) and the matches."""
+    # zipped, as what stands in a fold's function is computed for every element; the last text has no match after it
+    sizes = F.transform(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("int"))
+    return running(F.filter(sizes, lambda n: n.isNotNull()))
+
+
+def spans_of(text: Column, hits: Column, pattern: Column | str, lead, made, good) -> Column:
+    """Spans of a pattern's matches: lead(hit) is the value, made(start, value) the span, good(value) keeps it."""
 
     def spans(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none("struct<start:int,value:string>").alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            end = begin + F.coalesce(F.length(pair["hit"]), F.lit(0))
-            value = F.regexp_replace(pair["hit"], rule.java_lead, "") if rule.lead else pair["hit"]
-            found = F.struct((end - F.length(value)).cast("int").alias("start"), value.alias("value"))
-            return F.struct(end.alias("at"), F.when(pair["hit"].isNotNull(), F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
-
-        pairs = F.arrays_zip(F.split(x["text"], rule.java, -1).alias("gap"), x["hits"].alias("hit"))
-        found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-        if rule.check:
-            found = F.filter(found, lambda s: rule.check(s["value"]))
-        return F.transform(
-            found,
-            lambda s: F.struct(
-                s["start"].alias("start"),
-                (s["start"] + F.length(s["value"])).cast("int").alias("end"),
-                F.lit(rule.type).alias("type"),
-                s["value"].alias("value"),
-                F.lit(rule.confidence).cast("double").alias("confidence"),
-                F.lit(rule.detector).alias("detector"),
-                F.lit(ORDER.get(rule.detector, len(ORDER))).cast("int").alias("ord"),
-            ),
-        )
+        placed = F.transform(F.arrays_zip(x["ends"].alias("end"), x["hits"].alias("hit")), lambda p: F.struct(p["end"].alias("end"), lead(p["hit"]).alias("value")))
+        kept = placed if good is None else F.filter(placed, lambda s: good(s["value"]))
+        return F.transform(kept, lambda s: made((s["end"] - F.length(s["value"])).cast("int"), s["value"]))
 
-    hits = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    return bound(F.struct(text.alias("text"), hits.alias("hits")), lambda x: F.when(F.size(x["hits"]) > 0, spans(x)).otherwise(none(SPAN)))
+    return bound(F.struct(ends_of(F.split(text, pattern, -1), hits).alias("ends"), hits.alias("hits")), spans)
+
+
+def scan_rule(text: Column, rule: Rule) -> Column:
+    """All matches of a rule, left to right without overlaps; a match that its check rejects still uses up its text."""
 
+    def made(start: Column, value: Column) -> Column:
+        return F.struct(
+            start.alias("start"), (start + F.length(value)).cast("int").alias("end"), F.lit(rule.type).alias("type"), value.alias("value"), F.lit(rule.confidence).cast("double").alias("confidence"),
+            F.lit(rule.detector).alias("detector"), F.lit(ORDER.get(rule.detector, len(ORDER))).cast("int").alias("ord"),
+        )
 
-def scan(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The spans of all rules, by the order of the rules and then by position; blank texts have none."""
+    lead = (lambda hit: F.regexp_replace(hit, rule.java_lead, "")) if rule.lead else (lambda hit: hit)
+    hits = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
+    return bound(F.struct(text.alias("text"), hits.alias("hits")), lambda x: F.when(F.size(x["hits"]) > 0, spans_of(x["text"], x["hits"], rule.java, lead, made, rule.check)).otherwise(none(SPAN)))
+
+
+def scan_windows(found: Column, rules: tuple[Rule, ...]) -> Column:
+    """The spans of the rules in their windows; the pattern, and what its spans say, is looked up by the window's rule."""
+    # one literal each, for the planner's sake
+    table = lambda values, kind="string": F.split(F.lit("\x1e".join(map(str, values))), "\x1e", -1).cast(f"array<{kind}>")
+    patterns, leads = table([r.java for r in rules]), table([r.java_lead for r in rules])
+    types, confidences, detectors = table([r.type for r in rules]), table([r.confidence for r in rules], "double"), table([r.detector for r in rules])
+    ords = table([ORDER.get(r.detector, len(ORDER)) for r in rules], "int")
+    by_check: dict = {}
+    for k, r in enumerate(rules):
+        if r.check:
+            by_check.setdefault(r.check, []).append(k)
+
+    def in_window(w: Column) -> Column:
+        def good(value: Column) -> Column:
+            out = F.lit(True)
+            for check, own in by_check.items():
+                out = F.when(w["rule"].isin(own), check(value)).otherwise(out)
+            return out
+
+        def made(start: Column, value: Column) -> Column:
+            at, of = w["start"] + start, lambda column: F.get(column, w["rule"])
+            return F.struct(
+                at.cast("int").alias("start"), (at + F.length(value)).cast("int").alias("end"), of(types).alias("type"), value.alias("value"), of(confidences).alias("confidence"),
+                of(detectors).alias("detector"), of(ords).alias("ord"),
+            )
+
+        lead = lambda hit: F.when(F.get(leads, w["rule"]) == "", hit).otherwise(F.regexp_replace(hit, F.get(leads, w["rule"]), F.lit("")))
+        pattern = F.get(patterns, w["rule"])
+        hits = F.regexp_extract_all(w["text"], pattern, F.lit(0))
+        return bound(hits, lambda h: F.when(F.size(h) > 0, spans_of(w["text"], h, pattern, lead, made, good)).otherwise(none(SPAN)))
+
+    return F.flatten(F.transform(found, in_window))
+
+
+def scan(text: Column, rules: tuple[Rule, ...], gated: bool = True) -> Column:
+    """The spans of all rules, by the order of the rules and then by position; blank texts have none.
+
+    gated: rules read only the windows of the text that can hold a match of theirs; else each reads the text.
+    """
     if not rules:
         return none(SPAN)
+    if gated:
+        return F.when(blank(text), none(SPAN)).otherwise(scan_windows(windows(text, rules), rules))
     # the text is bound once: as an expression it would be computed again for every rule
     return bound(text, lambda t: F.when(blank(t), none(SPAN)).otherwise(F.flatten(F.array(*[scan_rule(t, rule) for rule in rules]))))
 
@@ -89,22 +151,19 @@ def by_position(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["span"])
 
 
-def by_score(spans: Column) -> Column:
-    keyed = F.transform(spans, lambda s, i: F.struct((-s["confidence"]).alias("c"), i.alias("d"), s.alias("span")))
-    return F.transform(F.array_sort(keyed), lambda x: x["span"])
-
-
 def resolve(spans: Column) -> Column:
     """Overlap resolution, position first: keep a span if it begins where the last kept one has ended."""
-    start = F.struct(F.lit(0).alias("at"), none(SPAN).alias("out"))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
-    return F.aggregate(by_position(spans), start, step, lambda acc: acc["out"])
+
+    def step(at: Column, s: Column) -> Column:
+        fits = s["start"] >= at
+        return F.struct(F.when(fits, s["end"]).otherwise(at).alias("state"), F.when(fits, s).alias("out"))
+
+    return bound(by_position(spans), lambda x: in_blocks(x, F.lit(0), SPAN, step))
 
 
 def greedy(spans: Column, result_by_start: bool = False) -> Column:
-    """Greedy selection, score first: keep a span if it overlaps none of those kept."""
-    step = lambda acc, s: F.when(F.exists(acc, lambda k: (s["start"] < k["end"]) & (s["end"] > k["start"])), acc).otherwise(F.concat(acc, F.array(s)))
-    kept = F.aggregate(by_score(spans), none(SPAN), step)
+    """Greedy selection, score first: keep a span if it overlaps none of those kept; spans is a column as once() gives it."""
+    kept = by_score(spans)
     return F.array_sort(kept) if result_by_start else kept
 
 
@@ -114,66 +173,37 @@ def folded(text: Column) -> Column:
 
 
 def terms(spans: Column) -> Column:
-    """What a document's spans say elsewhere: whole values, and longer words of values of several words; first ones win."""
+    """What a document's spans say elsewhere: whole values, and longer words of values of several words; (low, type)."""
 
     def own(s: Column) -> Column:
         value = trimmed(s["value"])
-        whole = F.when(F.length(value) >= 3, F.array(F.struct(value.alias("term"), s["type"].alias("type")))).otherwise(none(TERM))
+        term = lambda t: F.struct(folded(t).alias("low"), s["type"].alias("type"))
+        whole = F.when(F.length(value) >= 3, F.array(term(value))).otherwise(none(TERM))
         cut = F.transform(F.split(value, f"[{WHITE}]+"), lambda w: F.regexp_replace(w, WORD_END, ""))
-        words = F.transform(F.filter(cut, lambda w: F.length(w) >= 4), lambda w: F.struct(w.alias("term"), s["type"].alias("type")))
-        return F.concat(whole, F.when(value.contains(" "), words).otherwise(none(TERM)))
-
-    every = F.flatten(F.transform(spans, own))
-    return bound(every, lambda t: F.filter(t, lambda x, i: F.array_position(F.transform(t, lambda y: folded(y["term"])), folded(x["term"])) == i + 1))
-
-
-def hits(low: Column, term: Column) -> Column:
-    """Every position of a term in a text, overlapping ones too; both in folded case."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    start = F.struct(F.lit(0).alias("at"), none("int").alias("out"))
-    step = lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    ends = F.aggregate(F.split(low, quoted, F.lit(-1)), start, step, lambda acc: acc["out"])
-    # the first piece begins the text, and is a hit only if the term does
-    return F.filter(ends, lambda p, i: (i > 0) | low.startswith(term))
-
-
-def propagate(text: Column, spans: Column) -> Column:
-    """New spans where a document repeats what its resolved spans found, between boundary characters."""
-
-    def found(x: Column) -> Column:
-        taken = F.transform(x["spans"], lambda s: F.struct(s["start"], s["end"]))
-
-        def of_term(t: Column) -> Column:
-            n = F.length(t["term"])
-            free = lambda at: F.when((at < 0) | (at >= F.length(x["text"])), True).otherwise(F.substring(x["text"], at + 1, 1).rlike(BOUNDARY))
-            places = F.filter(hits(x["low"], folded(t["term"])), lambda p: free(p - 1) & free(p + n) & ~F.array_contains(taken, F.struct(p.alias("start"), (p + n).cast("int").alias("end"))))
-            return F.transform(
-                places,
-                lambda p: F.struct(
-                    p.alias("start"),
-                    (p + n).cast("int").alias("end"),
-                    t["type"].alias("type"),
-                    F.substring(x["text"], p + 1, n).alias("value"),
-                    F.lit(0.95).alias("confidence"),
-                    F.lit("propagated").alias("detector"),
-                    F.lit(0).alias("ord"),
-                ),
-            )
-
-        every = F.flatten(F.transform(terms(x["spans"]), of_term))
-        # of hits at one place the first term's stays
-        return bound(every, lambda e: F.filter(e, lambda s, i: F.array_position(F.transform(e, lambda y: F.struct(y["start"], y["end"])), F.struct(s["start"], s["end"])) == i + 1))
-
-    return bound(F.struct(text.alias("text"), folded(text).alias("low"), spans.alias("spans")), lambda x: F.when(F.size(x["spans"]) > 0, found(x)).otherwise(none(SPAN)))
-
-
-def detect(text: Column, rules: tuple[Rule, ...], model: Column | None = None, propagated: bool = True) -> Column:
-    """The two-pass pipeline: union of model and rule spans, resolve, propagate, resolve again."""
-    found = scan(text, rules)
-    first = resolve(F.concat(model, found) if model is not None else found)
-    if not propagated:
-        return first
-    return bound(F.struct(text.alias("text"), first.alias("spans")), lambda x: resolve(F.concat(x["spans"], propagate(x["text"], x["spans"]))))
+        return F.concat(whole, F.when(value.contains(" "), F.transform(F.filter(cut, lambda w: F.length(w) >= 4), term)).otherwise(none(TERM)))
+
+    return F.flatten(F.transform(spans, own))
+
+
+def once(column: Column) -> Column:
+    """The same values, in a projection that the optimizer merges with no other: what it holds is computed once.
+
+    A Python function's input has to be such a column, or one of a table: Spark doesn't extract functions whose input holds folds
+    with inner variables.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
+def to_propagate(text: Column, spans: Column) -> Column:
+    """What repeated() asks for; null where there are no spans."""
+    parts = lambda x: F.struct(x["text"].alias("text"), folded(x["text"]).alias("low"), x["spans"].alias("spans"), terms(x["spans"]).alias("terms"))
+    return bound(F.struct(text.alias("text"), spans.alias("spans")), lambda x: F.when(F.size(x["spans"]) > 0, parts(x)))
+
+
+def first_pass(text: Column, rules: tuple[Rule, ...], model: Column | None = None, gated: bool = True) -> Column:
+    """The union of model and rule spans, resolved."""
+    found = scan(text, rules, gated)
+    return resolve(F.concat(model, found) if model is not None else found)
 
 
 def values(spans: Column) -> Column:
@@ -229,20 +259,12 @@ def restore(text: Column, entries: Column) -> Column:
 
 def tokens(text: Column, pattern: str) -> Column:
     """Matches of a token pattern with their offsets: array of (idx, word, start, end)."""
-    kind = "struct<idx:int,word:string,start:int,end:int>"
 
     def run(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none(kind).alias("out"))
-
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            end = begin + F.coalesce(F.length(pair["hit"]), F.lit(0))
-            token = F.struct(acc["n"].alias("idx"), pair["hit"].alias("word"), begin.alias("start"), end.alias("end"))
-            return F.struct(end.alias("at"), (acc["n"] + 1).alias("n"), F.when(pair["hit"].isNotNull(), F.concat(acc["out"], F.array(token))).otherwise(acc["out"]).alias("out"))
-
-        pairs = F.arrays_zip(F.split(x["text"], pattern, -1).alias("gap"), x["hits"].alias("hit"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        pairs = F.arrays_zip(ends_of(F.split(x["text"], pattern, -1), x["hits"]).alias("end"), x["hits"].alias("word"))
+        return F.transform(pairs, lambda p, i: F.struct(i.cast("int").alias("idx"), p["word"].alias("word"), (p["end"] - F.length(p["word"])).cast("int").alias("start"), p["end"].alias("end")))
 
+    kind = "struct<idx:int,word:string,start:int,end:int>"
     return bound(F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")), lambda x: F.when(F.size(x["hits"]) > 0, run(x)).otherwise(none(kind)))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans as S
+from maskwell.functions.propagation import repeated
 from maskwell.rules.base import Rule
 from maskwell.rules.catalogue import RULES
 
@@ -17,9 +18,23 @@ LOWEST, HIGHEST, SHORTEST = 0.05, 0.95, 3
 THRESHOLDS = {"spans": 0.35, "tags": 0.5}
 
 
-def detected(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", model: str | None = None, propagated: bool = True) -> DataFrame:
-    """docs with ``spans``: the two-pass pipeline; ``model`` names a column of externally scored spans."""
-    return docs.withColumn("spans", S.detect(F.col(text), rules, F.col(model) if model else None, propagated))
+def detected(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", model: str | None = None, propagated: bool = True, gated: bool = True) -> DataFrame:
+    """docs with ``spans``: the two-pass pipeline (found, resolved, propagated, resolved again); ``model`` names a column of externally scored spans."""
+    first = S.first_pass(F.col(text), rules, F.col(model) if model else None, gated)
+    if not propagated:
+        return docs.withColumn("spans", first)
+    return with_repeats(docs, first, text, keep=True, finish=S.resolve)
+
+
+def with_repeats(docs: DataFrame, spans: Column, text: str = "text", keep: bool = False, finish=lambda x: x) -> DataFrame:
+    """docs with ``spans``: where each document repeats, between boundary characters, what the given resolved spans found; after
+    these with ``keep``. The input of the search is a column of its own, as one function's input can't hold another's output in a fold.
+    """
+    own = "_parts"
+    while own in docs.columns:
+        own += "_"
+    ready = docs.withColumn(own, S.once(S.to_propagate(F.col(text), spans)))
+    return ready.withColumn("spans", S.once(finish(repeated(F.col(own), S.SPAN, keep)))).drop(own)
 
 
 def each(docs: DataFrame, elements: Column, name: str, *keep: str) -> DataFrame:
@@ -158,7 +173,8 @@ def session_numbers(values: DataFrame, stored: DataFrame, order: list[str]) -> D
     ranged = settled(new.repartitionByRange(F.col("first"), F.col("original")).withColumn("part", F.spark_partition_id()))
     ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("first", "original")))
     sizes = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # one row a range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     base = stored.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("base"))
     fresh = ranked.join(F.broadcast(before), "part").crossJoin(F.broadcast(base)).select("original", (F.col("base") + F.col("before") + F.col("k")).cast("long").alias("ord"))
     return stored.select("original", F.col("ord").cast("long").alias("ord")).unionByName(fresh)

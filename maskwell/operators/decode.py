@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwell.functions import spans as S
+from maskwell.functions.selection import chunks
 from maskwell.operators import corpus
 
 # Chunk sizes and overlaps of the two model families
@@ -60,30 +61,11 @@ def fixed_chunks(n: Column, size: int = WORDS_PER_CHUNK, overlap: int = WORD_OVE
 
 
 def budget_chunks(costs: Column, budget: int = SUBTOKENS_PER_CHUNK, overlap: int = SUBTOKEN_OVERLAP) -> Column:
-    """(first, end) of chunks that are filled to a budget of subtokens; a word over it has a chunk of its own."""
-    kind = "array<struct<first:int,end:int>>"
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    none = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
-    add = lambda a, x: F.struct((a["sum"] + x).cast("int").alias("sum"), F.concat(a["sums"], F.array((a["sum"] + x).cast("int"))).alias("sums"))
-    before = F.aggregate(costs, none, add, lambda a: a["sums"])
-
-    def run(c: Column) -> Column:
-        """c.sums: running sums of the costs. Chunk by chunk: at most one begins at each word."""
-        n = F.size(c["sums"])
-        upto = lambda i: F.when(i <= 0, 0).otherwise(F.element_at(c["sums"], i))
-
-        def step(acc: Column, _: Column) -> Column:
-            i = acc["first"]
-            fit = F.size(F.filter(c["sums"], lambda s: s <= upto(i) + budget))
-            end = F.greatest(fit, i + 1).cast("int")
-            chunk = F.struct(i.alias("first"), end.alias("end"))
-            done = F.when(end >= n, n).otherwise(F.greatest(i + 1, end - overlap)).cast("int")
-            more = F.struct(done.alias("first"), F.lit(0).alias("sum"), F.lit(0).alias("at"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-            return F.when(i >= n, acc).otherwise(more)
-
-        return F.aggregate(c["sums"], start, step, lambda acc: acc["out"])
-
-    return F.when(F.size(costs) <= 0, F.array().cast(kind)).otherwise(S.bound(F.struct(before.alias("sums")), run))
+    """(first, end) of chunks that are filled to a budget of subtokens; a word over it has a chunk of its own.
+
+    costs is a column as once() gives it.
+    """
+    return chunks(costs, budget, overlap)
 
 
 def aligned(subtokens: DataFrame, key: list[str], mark: str = "▁", token: str = "token", position: str = "pos") -> DataFrame:

@@ -22,10 +22,30 @@ def flattened(segments: DataFrame, key: str = "doc_id", order: tuple[str, ...] =
     return placed.groupBy(key).agg(joined.alias("text")), placed.drop("sep")
 
 
-def overlaps(placed: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Segments with the spans that touch them (half-open ranges), within a document."""
-    s = spans.select(F.col(key).alias("_key"), F.col("start"), F.col("end"), *[c for c in spans.columns if c not in (key, "start", "end")])
-    return placed.join(s, (placed[key] == s["_key"]) & (placed["flat_end"] > s["start"]) & (placed["flat_start"] < s["end"])).drop("_key")
+# width of the bins that runs and spans are dealt to, in characters
+BIN = 4096
+
+
+def binned(rows: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Rows once for each bin that their half-open range reaches, with ``bin`` and ``first_bin``; empty ranges lie where they begin."""
+    at = lambda c: F.floor(c / width).cast("long")
+    last = at(F.greatest(F.col(end) - 1, F.col(start)))
+    return rows.withColumn("first_bin", at(F.col(start))).withColumn("bin", F.explode(F.sequence("first_bin", last)))
+
+
+def overlaps(placed: DataFrame, spans: DataFrame, key: str = "doc_id", width: int = BIN) -> DataFrame:
+    """Segments with the spans that touch them (half-open ranges), within a document.
+
+    Both sides are dealt to bins of offsets and meet by document and bin, so a run meets the spans near it and a long document
+    is many keys. A pair that shares several bins is kept in the first of them: where the later one of the two begins.
+    """
+    own = [c for c in spans.columns if c not in (key, "start", "end")]
+    s = binned(spans.select(F.col(key).alias("_key"), "start", "end", *own).filter(F.col("end") > F.col("start")), "start", "end", width)
+    s = s.withColumnsRenamed({"bin": "_bin", "first_bin": "_first_bin"})
+    p = binned(placed, "flat_start", "flat_end", width)
+    touching = (p["flat_end"] > s["start"]) & (p["flat_start"] < s["end"])
+    once = p["bin"] == F.greatest(p["first_bin"], s["_first_bin"])
+    return p.join(s, (p[key] == s["_key"]) & (p["bin"] == s["_bin"]) & once & touching).drop("_key", "_bin", "_first_bin", "bin", "first_bin")
 
 
 def rewritten(placed: DataFrame, spans: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("part", "paragraph", "seq"), text: str = "text") -> DataFrame:

@@ -225,7 +225,7 @@ FROM (SELECT doc_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filte
 
 @query(_BY_SCORE)
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir).withColumn("spans", S.greedy(S.scan(F.col("text"), SEVERAL)))
+    docs = texts(spark, sf_dir).withColumn("spans", S.once(S.scan(F.col("text"), SEVERAL))).withColumn("spans", S.greedy(F.col("spans")))
     return corpus.exploded(docs).select("doc_id", "start", "end", "detector")
 
 
@@ -234,7 +234,7 @@ _SPREAD = sql.propagated(DOCS, SOME_KEPT)
 
 @query(f'SELECT doc_id, s AS start, e AS "end", type, value FROM ({_SPREAD})')
 def propagate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = several(spark, sf_dir).withColumn("spans", S.propagate(F.col("text"), F.col("spans")))
+    docs = corpus.with_repeats(several(spark, sf_dir), F.col("spans"))
     return corpus.exploded(docs).select("doc_id", "start", "end", "type", "value")
 
 
@@ -426,6 +426,16 @@ FROM (SELECT *, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([le
       FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits FROM ({source}))))"""
 
 
+def words_of(pattern: str, source: str = DOCS) -> str:
+    """The same by running sums."""
+    p = sql.quote(pattern)
+    return f"""
+SELECT doc_id, (i - 1)::INT AS idx, hit AS value, (upto - length(hit))::INT AS s, upto::INT AS e
+FROM (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS upto
+      FROM (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap
+            FROM (SELECT doc_id, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits FROM ({source}))))"""
+
+
 SHORT = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE text IS NOT NULL"
 _MODEL_SQL = _MODEL.format(words_sql(S.WORDS_B, SHORT))
 
@@ -449,6 +459,17 @@ def words_by_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.words(messages(spark, sf_dir), S.WORDS_A)
 
 
+# F11, F12 over whole documents
+@query(f'SELECT doc_id, idx, value AS word, s AS start, e AS "end" FROM ({words_of(S.WORDS_B)})')
+def words_by_space_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.words(texts(spark, sf_dir), S.WORDS_B)
+
+
+@query(f'SELECT doc_id, idx, value AS word, s AS start, e AS "end" FROM ({words_of(S.WORDS_A)})')
+def words_by_letters_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.words(texts(spark, sf_dir), S.WORDS_A)
+
+
 @query(f"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^{WHITE}]') THEN len(regexp_extract_all(text, '[^{WHITE}]+')) ELSE 0 END::INT AS n_words FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select("doc_id", decode.word_count(F.col("text")).alias("n_words"))
@@ -483,7 +504,12 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.each(texts(spark, sf_dir), decode.fixed_chunks(n), "first", "doc_id")
 
 
-# Words cost a token per four letters; messages with small budgets
+def with_costs(docs: DataFrame) -> DataFrame:
+    """Words cost a token per four letters."""
+    return docs.withColumn("costs", S.once(F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))))
+
+
+# Messages with small budgets
 @query(f"""
 WITH RECURSIVE w AS (SELECT doc_id, idx, ceil(length(value) / 4.0)::INT AS cost FROM ({words_sql(S.WORDS_B, SHORT)})),
 u AS (SELECT doc_id, idx, sum(cost) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS upto, cost, count(*) OVER (PARTITION BY doc_id) AS n FROM w),
@@ -492,15 +518,21 @@ c AS (SELECT doc_id, first, stop, n FROM step WHERE first = 0
       UNION ALL SELECT s.doc_id, s.first, s.stop, s.n FROM c JOIN step s ON c.doc_id = s.doc_id AND s.first = greatest(c.first + 1, c.stop - 4) AND c.stop < c.n)
 SELECT doc_id, first::INT AS first, stop::INT AS "end" FROM c""")
 def budget_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))
-    return corpus.each(messages(spark, sf_dir), decode.budget_chunks(costs, 20, 4), "c", "doc_id").select("doc_id", "c.first", "c.end")
+    return corpus.each(with_costs(messages(spark, sf_dir)), decode.budget_chunks(F.col("costs"), 20, 4), "c", "doc_id").select("doc_id", "c.first", "c.end")
 
 
-# the model's own budget over whole documents; the oracle's join takes the square of a text's words: tested by brute force
-@query()
+# the model's own budget over whole documents: a word fits the chunks from the words that at most ``budget`` tokens lie before its end
+_COSTS = f"SELECT doc_id, idx, ceil(length(value) / 4.0)::INT AS cost FROM ({words_of(S.WORDS_B)})"
+
+
+@query(f"""
+WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, idx::BIGINT AS idx, cost, sum(cost) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS upto, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_COSTS})),
+step AS MATERIALIZED (SELECT a.doc_id, a.idx AS first, a.n, greatest(a.idx, coalesce(b.idx, -1)) + 1 AS stop FROM u a ASOF LEFT JOIN u b ON a.doc_id = b.doc_id AND a.upto - a.cost + {decode.SUBTOKENS_PER_CHUNK} >= b.upto),
+c AS (SELECT doc_id, first, stop, n FROM step WHERE first = 0
+      UNION ALL SELECT s.doc_id, s.first, s.stop, s.n FROM c JOIN step s ON c.doc_id = s.doc_id AND s.first = greatest(c.first + 1, c.stop - {decode.SUBTOKEN_OVERLAP}) AND c.stop < c.n)
+SELECT doc_id, first::INT AS first, stop::INT AS "end" FROM c""")
 def budget_chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = F.transform(S.tokens(F.col("text"), S.WORDS_B), lambda t: F.ceil(F.length(t["word"]) / 4.0).cast("int"))
-    return corpus.each(texts(spark, sf_dir), decode.budget_chunks(costs), "c", "doc_id").select("doc_id", "c.first", "c.end")
+    return corpus.each(with_costs(texts(spark, sf_dir)), decode.budget_chunks(F.col("costs")), "c", "doc_id").select("doc_id", "c.first", "c.end")
 
 
 # tags of words, from their offsets: B or I of two names, or none
