@@ -11,7 +11,8 @@ bounded by the largest count.
 
 Defined results: null and empty texts have no words; repeated rows count each; a null key is the empty string where the key
 is hashed; ties of counts go to the smallest word in code-point order; an empty table gives an empty result; other columns
-are not read. A very long text is a slice of its own. A link by a doubled letter (aab and ab) counts once.
+are not read. A very long text is a slice of its own; a word that is counted takes room in the
+square of its length. A link by a doubled letter (aab and ab) counts once.
 """
 
 from __future__ import annotations
