@@ -9,7 +9,8 @@ shuffle that finds distinct blobs combines in every map task first. Only DataFra
 Defined results: null text is the empty blob, which has no spans; ties of spans are ordered by kind as
 listed in RULES; repeated rows each get their findings; an empty table gives an empty result; other columns
 come back as they are, but for one that has the name of the findings. Offsets count code points, the end is
-exclusive.
+exclusive. A text of many hits takes little more than time in proportion to them (arrays grow in blocks), in one task. Rows of a
+text that more than a thousandth of all rows hold are not shuffled to one task: they meet a copy of its ledger row.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm.common import shared_dir, whole_text
+from maskwell.functions import spans as S
+from maskwell.llm.common import looked_up, shared_dir, whole_text
 
 # The three base patterns and the least lengths of what they find.
 RULES_VERSION = "base-1"
@@ -48,23 +50,17 @@ SPAN = "struct<start:int,rank:int,stop:int,kind:string>"
 
 
 def rule_spans(text: Column, rule: SecretRule, rank: int) -> Column:
-    """Spans of one rule: the texts between matches give the offsets, failing matches go afterwards."""
+    """Spans of one rule: running sums of the texts between matches give the offsets, failing matches go afterwards."""
     pattern = F.lit(rule.pattern)
-    pairs = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    hits, parts = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("stop"), F.lit(rule.kind).alias("kind"))
-        good = F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        rows = F.arrays_zip(S.ends_of(x["gaps"], x["hits"]).alias("stop"), x["hits"].alias("hit"), x["parts"].alias("part"))
+        good = F.filter(rows, lambda r: F.length(r["part"]) >= rule.least)
+        return F.transform(good, lambda r: F.struct((r["stop"] - F.length(r["hit"])).cast("int").alias("start"), F.lit(rank).alias("rank"), r["stop"].cast("int").alias("stop"), F.lit(rule.kind).alias("kind")))
 
-    return F.when(text.rlike(rule.gate), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found = F.struct(F.split(text, rule.pattern, -1).alias("gaps"), hits.alias("hits"), parts.alias("parts"))
+    return F.when(text.rlike(rule.gate), S.bound(found, placed)).otherwise(S.none(SPAN))
 
 
 def scan(text: Column, rules: tuple[SecretRule, ...] = RULES) -> Column:
@@ -104,22 +100,41 @@ class SecretLedger:
             blob += "_"
         ledger = self.rows().filter(F.col("version") == self.version).select(F.col("blob").alias(blob), F.col("spans").alias(out))
         own = docs.withColumn(blob, F.unhex(F.sha2(whole_text(text), 256)))
-        return own.drop(out).join(ledger, blob, "left").drop(blob)
+        return looked_up(own.drop(out), blob, ledger, docs.count(), "left").drop(blob)
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by <kind>; of overlapping spans, the first names the gap they leave."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), x["kind"], F.lit(">")))
-        return F.struct(
-            F.greatest(acc["at"], x["stop"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with every span replaced by <kind>; of overlapping spans, the first names the gap they leave.
+
+    Spans are taken in blocks of about the root of their number, each with its own part of the text, as finding a place in a text
+    takes time in proportion to what stands before it.
+    """
+    gap = "struct<at:int,start:int,kind:string>"
+
+    def step(at: Column, s: Column) -> Column:
+        named = F.struct(at.cast("int").alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(at, s["stop"]).alias("state"), F.when(s["start"] >= at, named).alias("out"))
+
+    def block(x: Column) -> Column:
+        first = x["gaps"][0]["at"]
+        return F.array_join(F.transform(x["gaps"], lambda g: F.concat(F.substring(x["part"], g["at"] - first + 1, g["start"] - g["at"]), F.lit("<"), g["kind"], F.lit(">"))), "")
+
+    def blocks(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x["gaps"]))).cast("int")
+
+        def own(k: Column) -> Column:
+            part = F.slice(x["gaps"], k, size)
+            begin = part[0]["at"]
+            return F.struct(part.alias("gaps"), F.substring(x["text"], begin + 1, F.element_at(part, -1)["start"] - begin).alias("part"))
+
+        done = F.transform(F.sequence(F.lit(1), F.size(x["gaps"]), size), lambda k: S.bound(own(k), block))
+        return F.concat(F.array_join(done, ""), F.substring(x["text"], x["last"] + 1, F.length(x["text"])))
+
+    def run(x: Column) -> Column:
+        last = F.array_max(F.transform(x["spans"], lambda s: s["stop"]))
+        return S.bound(F.struct(S.in_blocks(x["spans"], F.lit(0), gap, step).alias("gaps"), x["text"].alias("text"), last.alias("last")), blocks)
+
+    return F.when(F.size(spans) > 0, S.bound(F.struct(text.alias("text"), spans.alias("spans")), run)).otherwise(text)
 
 
 def span_list(spans: Column) -> Column:

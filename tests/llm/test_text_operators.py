@@ -1,11 +1,13 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from maskwell.llm import exact_dedup, packing, secret_scan, sp_codec, suffix_dedup, token_counts
@@ -263,3 +265,44 @@ def test_texts_beyond_a_slice(spark):
     assert {r["doc_id"]: r["class_id"] for r in minhash.near_dedup(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
     encoded = [r for r in sp_codec.encode(docs.filter("doc_id = 2"), MODEL).orderBy("chunk").collect()]
     assert [x for r in encoded for x in r["ids"]] == sp.encode(other)
+
+
+def secrets_by_hand(text):
+    found = []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE):
+        if len(m.group(1)) >= 6:
+            found.append((m.start(), 0, m.end(), "assign"))
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(found)
+
+
+def blanked_by_hand(text, spans):
+    at, out = 0, []
+    for start, _, stop, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+def test_secrets_of_a_text_with_many_hits(spark):
+    parts = lambda i: f"é token={i:08x}z secret: {i} AKIA{'Q' * (i % 30)} 😀{i:030x} password={'0a' * (i % 20)}"
+    text = " ".join(map(parts, range(4000)))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "token=abc"), (5, "token=abcdef")], "doc_id long, text string")
+    body = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", body.alias("text"), secret_scan.scan(body).alias("spans")).withColumn("blanked", secret_scan.redact(F.col("text"), F.col("spans"))).collect()
+    for r in rows:
+        spans = [tuple(s) for s in r["spans"]]
+        assert spans == secrets_by_hand(r["text"])
+        assert r["blanked"] == blanked_by_hand(r["text"], spans)
+    assert max(len(r["spans"]) for r in rows) >= 10_000
+
+
+def test_findings_of_a_hot_text(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("token=abcdef")).otherwise(F.concat(F.lit("x"), "id")).alias("text"), F.lit(1).alias("spans"))
+    ledger = secret_scan.SecretLedger(spark)
+    ledger.update(docs)
+    got = ledger.findings(docs).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(i, int(i % 3 == 0)) for i in range(3000)]
+    assert ledger.findings(docs, out="found").columns == ["doc_id", "text", "spans", "found"]
