@@ -38,7 +38,7 @@ def named_street(kinds: str, number: str = r"\d+%L?", more: str = "") -> str:
     return f"%L[%L%s{more}-]*(?:{kinds})%S+{number}"
 
 
-def company(forms: str, more: str = "&.'", comma: bool = False, end: str = "%b") -> str:
+def company(forms: str, more: str = "&.'", comma: bool = False, end: str = "%b", space: bool = True) -> str:
     """A run of words and a legal form; begins with a run of letters."""
-    between = "(?:,?%S+)?" if comma else "(?:%S+)?"
+    between = ("(?:,?%S+)?" if comma else "(?:%S+)?") if space else ""
     return f"%L[%L%s{more}]+{between}(?:{forms}){end}"

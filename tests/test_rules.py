@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from maskwell.functions import checks
 from maskwell.functions import spans as S
 from maskwell.rules import catalogue
+from maskwell.rules.examples import EXAMPLES
 
 ACCEPTED = {
     "iban": "GB29 NWBK 6016 1331 9268 19", "luhn": "4532 0151 1283 0366", "gb_nhs": "943 476 5919", "pl_pesel": "89052310002", "pl_id_card": "ABC 523456", "pl_nip": "123-456-78-19",
@@ -53,6 +54,20 @@ def test_rule_finds(spark, name):
     assert all(text[x["start"] : x["end"]] == x["value"] for x in rows)
 
 
+def test_every_rule_finds_its_example_whole(spark):
+    """The example of labeled_id needs a label before it."""
+    assert len(EXAMPLES) == 147 and all(f"{r.region}:{r.name}" in EXAMPLES for r in catalogue.RULES)
+    rows = [(r.detector, f"; {'Ref: ' if r.name == 'labeled_id' else ''}{x}; or", x) for r in catalogue.RULES for x in r.examples]
+    table = spark.createDataFrame(rows, "detector string, text string, example string").repartition(4)
+    gated = table.withColumn("spans", S.scan(F.col("text"), catalogue.RULES))
+    found = gated.select("detector", "example", F.transform(F.filter("spans", lambda s: s["detector"] == F.col("detector")), lambda s: s["value"]).alias("values")).collect()
+    assert {r["detector"]: (r["example"], r["values"]) for r in found if r["values"] != [r["example"]]} == {}
+
+
+def test_domains():
+    assert {d for r in catalogue.RULES for d in r.domains} == set(catalogue.DOMAINS)
+
+
 def test_runs_take_linear_time(spark):
     text = "word and " * 40_000
     names = ("gb:company", "de:street", "be:street")
