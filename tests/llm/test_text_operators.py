@@ -167,6 +167,21 @@ def test_exact_dedup(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 6]
 
 
+def test_exact_dedup_deals_hot_texts_to_cells(spark):
+    rows = spark.range(0, 4000, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 8 == 1, "warm").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = rows.unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+    got = exact_dedup.exact_dedup(rows)
+    assert got.count() == 4500
+    by_text = {(r["keep_id"], r["group_size"]): r["count"] for r in got.groupBy("keep_id", "group_size").count().collect()}
+    assert by_text[3998, 2500] == 2500 and by_text[3993, 500] == 500 and sum(n == 1 for _, n in by_text) == 1500
+    assert got.filter("kept").count() == 1502
+    sizes = exact_dedup.cells(spark.createDataFrame([(b"a", 600), (b"b", 250), (b"c", 1)], "digest binary, group_size long"), 8)
+    assert [r["cells"] for r in sizes.orderBy("digest").collect()] == [6, 3, 1]
+    ids = rows.filter("text = 'hot'").select(F.col("doc_id").alias("id"), F.lit(b"h").alias("digest"))
+    dealt = exact_dedup.met(ids, spark.createDataFrame([(b"h", 1, 2500)], "digest binary, keep_id long, group_size long"), 16)
+    assert dealt.count() == 2500 and set(dealt.columns) == {"id", "digest", "keep_id", "group_size"}
+
+
 def test_secrets_and_ledger(spark):
     text = "😀 api_key = 'abcdef123' token: x secret=token: abcdefgh AKIA" + "Z" * 20 + " " + "0a" * 12 + " " + "f" * 23
     docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "password=123456")], "doc_id long, text string")
