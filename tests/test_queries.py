@@ -3,10 +3,10 @@ import os
 import duckdb
 import pytest
 
-from maskwell.plans import catalogue
+from maskwell.plans import catalogue, surfaces  # noqa: F401  (adds its queries to the catalogue's)
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["redact_documents", "resolve_overlaps", "two_pass_detection", "dictionary_listing", "fixed_chunks", "segment_overlaps", "check_luhn", "check_iban", "decode_tags", "file_names"]
+NAMES = ["redact_documents", "resolve_overlaps", "two_pass_detection", "dictionary_listing", "fixed_chunks", "segment_overlaps", "check_luhn", "check_iban", "decode_tags", "file_names", "spans_by_sql", "two_tables_round_trip"]
 
 
 def plain(v):
