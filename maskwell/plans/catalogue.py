@@ -697,7 +697,7 @@ UNION ALL SELECT doc_id, unnest(range(60, n - 200, 150)), 90 FROM (SELECT doc_id
 
 
 def cut_rows(placed: DataFrame) -> DataFrame:
-    n = placed.groupBy("doc_id").agg(F.max("flat_end").alias("n")).filter("n > 211")
+    n = placed.groupBy("doc_id").agg(F.max("flat_end").alias("n")).filter("n > 210")
     every = lambda first, w: n.filter(F.col("n") - 201 >= first).select("doc_id", F.explode(F.sequence(F.lit(first), F.col("n") - 201, F.lit(150))).alias("start")).withColumn("end", F.col("start") + w)
     return every(10, 5).unionByName(every(60, 90)).withColumn("placeholder", F.concat(F.lit("<<"), "start", F.lit(">>")))
 

@@ -1,5 +1,8 @@
 """Results where keys, texts or batches are larger than in the test tables."""
 
+import duckdb
+import pytest
+
 from maskwell.plans import catalogue
 
 
@@ -15,3 +18,15 @@ def test_identifiers_of_keys_whose_products_exceed_a_long(spark, tmp_path):
     got = {r["o_orderkey"]: (r["v"], r["ok"]) for r in catalogue.queries()["check_pl_regon"](spark, str(tmp_path)).collect()}
     want = {k: str((k * 123456787 + 123456787 % 997) % 10**9).zfill(9) if k % 2 == 0 else str((k * 12345678512347 + 12345678512347 % 997) % 10**14).zfill(14) for k in keys}
     assert got == {k: (v, pl_regon(v)) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("name", ["segment_overlaps", "rewrite_segments"])
+def test_conversations_about_the_shortest_that_has_a_span(spark, tmp_path, name):
+    rows = [(n, 0, "x" * n) for n in (209, 210, 211, 212, 260, 261, 262)] + [(1000, 0, "y" * 100), (1000, 1, "z" * 110)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    rel = con.sql(catalogue.oracle_sql()[name])
+    at = [rel.columns.index(c) for c in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
