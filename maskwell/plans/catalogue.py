@@ -502,8 +502,8 @@ def label_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, unnest(CASE WHEN n <= 150 THEN [0] ELSE range(0, (ceil((n - 150) / 110.0) * 110 + 1)::BIGINT, 110) END)::INT AS first
 FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^%s]+')) AS n FROM documents)""" % WHITE)  # noqa: UP031
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.size(F.regexp_extract_all("text", F.lit(S.WORDS_B), F.lit(0)))
-    return corpus.each(texts(spark, sf_dir), decode.fixed_chunks(n), "first", "doc_id")
+    n = F.size(F.regexp_extract_all("text", F.lit(S.quick(S.WORDS_B)), F.lit(0)))
+    return corpus.each(texts(spark, sf_dir), S.bound(n, lambda k: decode.fixed_chunks(k)), "first", "doc_id")
 
 
 def with_costs(docs: DataFrame) -> DataFrame:

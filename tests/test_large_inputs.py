@@ -30,3 +30,17 @@ def test_conversations_about_the_shortest_that_has_a_span(spark, tmp_path, name)
     rel = con.sql(catalogue.oracle_sql()[name])
     at = [rel.columns.index(c) for c in df.columns]
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+
+
+def test_words_are_read_once_and_by_the_same_pattern(spark, tmp_path):
+    odd = ["", " ", "a", "é ñ 中文字 b", "​﻿x　😀y\tz\r\n", "~!\x7f\x00 \x1f", "w " * 149 + "w", "w " * 151, "w " * 371]
+    spark.createDataFrame([(k, x) for k, x in enumerate(odd)] + [(99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("fixed_chunks", "words_by_space_of_documents"):
+        df = catalogue.queries()[name](spark, str(tmp_path))
+        rel = con.sql(catalogue.oracle_sql()[name])
+        at = [rel.columns.index(c) for c in df.columns]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == 1 and "[!-~[^" in plan
