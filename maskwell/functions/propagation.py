@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column
@@ -12,6 +14,8 @@ from maskwell.rules.needs import WHITE_CODES
 # The characters that may stand around a propagated value besides white space; what the new spans say
 AROUND = frozenset(".,;:!?()\"'„-–—/") | {chr(c) for c in WHITE_CODES}
 CONFIDENCE, DETECTOR = 0.95, "propagated"
+# texts whose spans a worker holds at once
+ROWS = 256
 KIND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("detector", pa.string()), ("ord", pa.int32())])
 
 
@@ -38,13 +42,15 @@ def repeats(text: str, low: str, taken: set[tuple[int, int]], terms: list[dict])
 def repeated(parts: Column, span: str, keep: bool = False) -> Column:
     """New spans from struct(text, low, spans, terms), after the spans themselves with ``keep``; terms are (low, type). Null gives none."""
 
+    def of(row: pa.Scalar) -> list[dict]:
+        x = row.as_py()
+        own = repeats(x["text"], x["low"], {(s["start"], s["end"]) for s in x["spans"]}, x["terms"]) if x and x["terms"] else []
+        return [*(x["spans"] if x and keep else []), *(dict(zip(KIND.names, s, strict=True)) for s in own)]
+
     @F.arrow_udf(f"array<{span}>")
-    def run(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows:
-            x = row.as_py()
-            own = repeats(x["text"], x["low"], {(s["start"], s["end"]) for s in x["spans"]}, x["terms"]) if x and x["terms"] else []
-            out.append([*(x["spans"] if x and keep else []), *(dict(zip(KIND.names, s, strict=True)) for s in own)])
-        return pa.array(out, pa.list_(KIND))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            for at in range(0, len(rows), ROWS):
+                yield pa.array([of(row) for row in rows.slice(at, ROWS)], pa.list_(KIND))
 
     return run(parts)

@@ -128,15 +128,16 @@ def scan_windows(found: Column, rules: tuple[Rule, ...]) -> Column:
     return F.flatten(F.transform(found, in_window))
 
 
-def scan(text: Column, rules: tuple[Rule, ...], gated: bool = True) -> Column:
+def scan(text: Column, rules: tuple[Rule, ...], gated: bool = True, alone: bool = True) -> Column:
     """The spans of all rules, by the order of the rules and then by position; blank texts have none.
 
-    gated: rules read only the windows of the text that can hold a match of theirs; else each reads the text.
+    gated: rules read only the windows of the text that can hold a match of theirs; else each reads the text. alone: as in
+    windows(); not for many scans in one projection.
     """
     if not rules:
         return none(SPAN)
     if gated:
-        return F.when(blank(text), none(SPAN)).otherwise(scan_windows(windows(text, rules), rules))
+        return F.when(blank(text), none(SPAN)).otherwise(scan_windows(windows(text, rules, alone), rules))
     # the text is bound once: as an expression it would be computed again for every rule
     return bound(text, lambda t: F.when(blank(t), none(SPAN)).otherwise(F.flatten(F.array(*[scan_rule(t, rule) for rule in rules]))))
 

@@ -1,9 +1,12 @@
 """Results where keys, texts or batches are larger than in the test tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from maskwell.functions import windows
 from maskwell.plans import catalogue
+from maskwell.rules import catalogue as rules
 
 
 def pl_regon(v: str) -> bool:
@@ -44,3 +47,14 @@ def test_words_are_read_once_and_by_the_same_pattern(spark, tmp_path):
         assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in at) for r in rel.fetchall())
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all(") == 1 and "[!-~[^" in plan
+
+
+def test_windows_leave_the_worker_group_by_group(spark, tmp_path):
+    line = "mail a1@example.com or +44 20 7946 0958; "
+    batch = pa.array([line * 5000] * 40 + [None, ""])
+    parts = [len(x) for x in windows.in_parts(iter([batch]), rules.named("universal:email", "universal:phone_intl"))]
+    assert sum(parts) == len(batch) and max(parts) * len(line) * 5000 <= windows.CHARACTERS + len(line) * 5000
+    spark.createDataFrame([(k, "Customer") for k in range(3)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = catalogue.queries()["scan_de"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # an iterator's function, and letters made within an array's function
+    assert "[parts(text" in plan and "transform(array(struct(" in plan
