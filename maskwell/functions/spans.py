@@ -18,6 +18,8 @@ TERM = "struct<low:string,type:string>"
 # The characters that end a word
 WORD_END = r"[.,;:!?()]+$"
 BLANK = "________"
+# of private use; texts that hold it are read by another way
+MARK = "\ue000"
 
 
 def none(kind: str) -> Column:
@@ -80,6 +82,30 @@ def spans_of(text: Column, hits: Column, pattern: Column | str, lead, made, good
     return bound(F.struct(ends_of(F.split(text, pattern, -1), hits).alias("ends"), hits.alias("hits")), spans)
 
 
+def spots_of(text: Column, pattern: Column) -> Column:
+    """(at, hit): a pattern's matches and where they begin.
+
+    One pass sets each match between marks, where the text has none of its own; a split at a single character needs no pattern.
+    """
+    spot = lambda at, hit: F.struct(at.cast("int").alias("at"), hit.alias("hit"))
+
+    def several(pieces: Column) -> Column:
+        places = lambda ends: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: spot(F.get(ends, i - 1), F.get(pieces, i)))
+        return bound(running(F.transform(pieces, lambda p: F.length(p))), places)
+
+    def between(marked: Column) -> Column:
+        # text and match by turns, a text last
+        return bound(F.split(marked, MARK, -1), lambda p: F.when(F.size(p) == 3, F.array(spot(F.length(F.get(p, F.lit(0))), F.get(p, F.lit(1))))).otherwise(several(p)))
+
+    def plain(hits: Column) -> Column:
+        pairs = F.arrays_zip(ends_of(F.split(text, pattern, -1), hits).alias("end"), hits.alias("hit"))
+        return F.transform(pairs, lambda p: spot(p["end"] - F.length(p["hit"]), p["hit"]))
+
+    nothing = none("struct<at:int,hit:string>")
+    marked = bound(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), lambda m: F.when(m.contains(MARK), between(m)).otherwise(nothing))
+    return F.when(text.contains(MARK), bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda h: F.when(F.size(h) > 0, plain(h)).otherwise(nothing))).otherwise(marked)
+
+
 def scan_rule(text: Column, rule: Rule) -> Column:
     """All matches of a rule, left to right without overlaps; a match that its check rejects still uses up its text."""
 
@@ -105,6 +131,7 @@ def scan_windows(found: Column, rules: tuple[Rule, ...]) -> Column:
     for k, r in enumerate(rules):
         if r.check:
             by_check.setdefault(r.check, []).append(k)
+    checked = [k for own in by_check.values() for k in own]
 
     def in_window(w: Column) -> Column:
         def good(value: Column) -> Column:
@@ -120,10 +147,16 @@ def scan_windows(found: Column, rules: tuple[Rule, ...]) -> Column:
                 of(detectors).alias("detector"), of(ords).alias("ord"),
             )
 
-        lead = lambda hit: F.when(F.get(leads, w["rule"]) == "", hit).otherwise(F.regexp_replace(hit, F.get(leads, w["rule"]), F.lit("")))
-        pattern = F.get(patterns, w["rule"])
-        hits = F.regexp_extract_all(w["text"], pattern, F.lit(0))
-        return bound(hits, lambda h: F.when(F.size(h) > 0, spans_of(w["text"], h, pattern, lead, made, good)).otherwise(none(SPAN)))
+        def cut(spot: Column) -> Column:
+            value = F.when(F.get(leads, w["rule"]) == "", spot["hit"]).otherwise(F.regexp_replace(spot["hit"], F.get(leads, w["rule"]), F.lit("")))
+            return bound(value, lambda v: F.struct((spot["at"] + F.length(spot["hit"]) - F.length(v)).alias("start"), v.alias("value")))
+
+        def spans(spots: Column) -> Column:
+            cuts = F.transform(spots, cut)
+            kept = F.when(w["rule"].isin(checked), F.filter(cuts, lambda c: good(c["value"]))).otherwise(cuts) if checked else cuts
+            return F.transform(kept, lambda c: made(c["start"], c["value"]))
+
+        return bound(spots_of(w["text"], F.get(patterns, w["rule"])), lambda x: F.when(F.size(x) > 0, spans(x)).otherwise(none(SPAN)))
 
     return F.flatten(F.transform(found, in_window))
 

@@ -5,7 +5,8 @@ as many of each kind, and one of the literals, as every way through the pattern
 windows, each with one more character on both sides for what the pattern sees there; no match is outside of them, and no
 match of one touches another, so scanning the windows and scanning the text find the same.
 
-One pass over a text classifies its characters and finds literals by an automaton over those of all rules.
+One pass over a text classifies its characters and finds literals by an automaton over those of all rules. Of the runs that are
+left, a rule reads those that hold its outlines: parts of its pattern between repeats without an end, as patterns of bounded length.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import re._constants as op
 import re._parser as parser
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 import ahocorasick
@@ -31,12 +32,15 @@ MOST = 400  # strings of a literal's alternatives
 @dataclass(frozen=True)
 class Needs:
     """takes: the classes of characters that matches consist of, None for any; counts: (classes, least number) pairs; literals:
-    one of these strings, folded if ``folded``; empty where there is no such demand."""
+    one of these strings, folded if ``folded``; empty where there is no such demand; gram: classes of characters that stand side by
+    side; outlines: patterns each of which is found."""
 
     takes: frozenset[int] | None
     counts: tuple[tuple[frozenset[int], int], ...]
     literals: frozenset[str]
     folded: bool
+    gram: tuple[frozenset[int], ...] = ()
+    outlines: tuple[str, ...] = ()
 
 
 def fold(c: str) -> str:
@@ -53,6 +57,7 @@ def _white() -> list[int]:
 
 
 WHITE_CODES = _white()
+WHITE_SET = frozenset(WHITE_CODES) | {ord(WHITE_SIGN)}
 EVERY = np.arange(sys.maxunicode + 1, dtype=np.uint32).view("<U1")
 
 
@@ -184,13 +189,138 @@ class Walk:
         return Way({}, None, frozenset([""]), None)
 
 
+class Outline:
+    """Parts of a parsed pattern as patterns of bounded length for Python's engine, over texts whose white space is all blanks and
+    that are folded for a rule that folds. Each is found in every match: what a part can't say (look-around, negated sets) is any
+    character or nothing."""
+
+    BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+    LETTER = r"[^\W\d_]"
+
+    def __init__(self, folded: bool):
+        self.folded = folded
+
+    def characters(self, codes) -> str:
+        own = {" " if c in WHITE_SET else fold(chr(c)) if self.folded else chr(c) for c in codes}
+        return "[" + "".join(re.escape(c) for c in sorted(own)) + "]"
+
+    def one(self, kind, value) -> str:
+        """A pattern of one character."""
+        if kind is op.LITERAL:
+            return {LETTER_SIGN: self.LETTER, WHITE_SIGN: " "}.get(chr(value)) or self.characters([value])
+        if kind is op.CATEGORY and value in (op.CATEGORY_DIGIT, op.CATEGORY_WORD):
+            return "[0-9]" if value is op.CATEGORY_DIGIT else "[0-9a-z_]" if self.folded else "[0-9A-Za-z_]"
+        if kind is op.RANGE and value[1] - value[0] < 256:
+            return self.characters(range(value[0], value[1] + 1))
+        if kind is op.IN and all(k is not op.NEGATE for k, _ in value):
+            plain = [v for k, v in value if k is op.LITERAL and chr(v) not in (LETTER_SIGN, WHITE_SIGN)]
+            rest = [self.one(k, v) for k, v in value if not (k is op.LITERAL and v in plain)]
+            parts = [*([self.characters(plain)] if plain else []), *dict.fromkeys(rest)]
+            return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return "."
+
+    def whole(self, items) -> tuple[str, int] | None:
+        """(pattern, least length) of a sequence, None where it has no longest match."""
+        out, least = [], 0
+        for kind, value in items:
+            if kind is op.AT:
+                out.append(self.BOUNDARY if value is op.AT_BOUNDARY else "")
+            elif kind in (op.ASSERT, op.ASSERT_NOT):
+                pass
+            elif kind is op.SUBPATTERN or kind is op.BRANCH:
+                ways = [self.whole(way) for way in (value[1] if kind is op.BRANCH else [value[3]])]
+                if None in ways:
+                    return None
+                out.append(f"(?:{'|'.join(w[0] for w in ways)})")
+                least += min(w[1] for w in ways)
+            elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
+                way = self.whole(value[2])
+                if way is None or value[1] is op.MAXREPEAT or value[1] > 40:
+                    return None
+                out.append(f"(?:{way[0]}){{{value[0]},{value[1]}}}")
+                least += value[0] * way[1]
+            elif kind in (op.LITERAL, op.IN, op.NOT_LITERAL, op.ANY):
+                out.append(self.one(kind, value))
+                least += 1
+            else:
+                return None
+        return "".join(out), least
+
+    def parts(self, items) -> list[tuple[str, int]]:
+        """The parts of a sequence; a repeat without an end gives its least number to the parts on both sides."""
+        done, own, least = [], "", 0
+        for kind, value in items:
+            if kind is op.ASSERT and value[0] < 0:
+                # what is seen before a place is followed by what is taken there
+                done.append((own, least))
+                own, least = self.whole(value[1]) or ("", 0)
+                continue
+            if (way := self.whole([(kind, value)])) is not None:
+                own, least = own + way[0], least + way[1]
+                continue
+            edge = self.whole(value[2]) if kind in (op.MAX_REPEAT, op.MIN_REPEAT) else None
+            edge = (f"(?:{edge[0]}){{{value[0]}}}", value[0] * edge[1]) if edge and value[0] <= 40 else ("", 0)
+            done.append((own + edge[0], least + edge[1]))
+            if kind is op.SUBPATTERN:
+                done += self.parts(value[3])
+            own, least = edge
+        return [*done, (own, least)]
+
+    def of(self, templates: list[str]) -> tuple[str, ...]:
+        """The longest parts of a template; of several templates, one part of any."""
+        best = [sorted((x for x in self.parts(tree(t)) if x[1]), key=lambda x: -x[1]) for t in templates]
+        if not all(best):
+            return ()
+        return tuple(x[0] for x in best[0][:3]) if len(best) == 1 else ("|".join(f"(?:{x[0][0]})" for x in best),)
+
+
+def side_by_side(walk: Walk, items) -> list[frozenset[int] | None]:
+    """The classes of a sequence's characters one after another; None where others may stand between."""
+    out: list[frozenset[int] | None] = []
+    for kind, value in items:
+        if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+            continue
+        if kind in (op.LITERAL, op.IN):
+            classes = walk.one(kind, value)[0]
+            out.append(None if classes is None or 0 in classes else classes)
+        elif kind is op.SUBPATTERN:
+            out += side_by_side(walk, value[3])
+        elif kind is op.BRANCH:
+            ways = [side_by_side(walk, way) for way in value[1]]
+            same = min(map(len, ways))
+            merge = lambda column: None if None in column else frozenset().union(*column)
+            if all(len(w) == same for w in ways):
+                out += [merge(c) for c in zip(*ways, strict=True)]
+            else:
+                out += [*(merge(c) for c in zip(*[w[:same] for w in ways], strict=True)), None, *(merge(c) for c in zip(*[w[len(w) - same :] for w in ways], strict=True))]
+        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] <= 40:
+            own = side_by_side(walk, value[2]) * value[0]
+            out += own if value[0] == value[1] else [*own, None, *own]
+        else:
+            out.append(None)
+    return out
+
+
+def gram(walk: Walk, template: str) -> tuple[frozenset[int], ...]:
+    """The run of classes that is rarest in prose; empty if none is rare."""
+    weight = lambda c: 0.3 if LETTER in c else 2 if DIGIT in c else 1 if c == {SPACE} else 3
+    runs: list[list[frozenset[int]]] = [[]]
+    for c in side_by_side(walk, tree(template)):
+        runs.append([]) if c is None else runs[-1].append(c)
+    best = max(runs, key=lambda r: sum(map(weight, r)))
+    return tuple(best) if sum(map(weight, best)) >= 3 else ()
+
+
 def needs(rule: Rule, alphabet: Alphabet) -> Needs:
     walk = Walk(alphabet, bool(rule.flags))
     way = walk.either([walk.sequence(tree(t)) for t in (rule.template, rule.first) if t])
     walk.takes |= {alphabet.of(ord(c)) for c in rule.lead.replace("%s", WHITE_SIGN)}
     # sets with letters say little about prose
     sharp = tuple(sorted(((k, n) for k, n in way.counts.items() if LETTER not in k and k != {SPACE}), key=lambda x: (sorted(x[0]), x[1])))
-    return Needs(None if walk.any else frozenset(walk.takes), sharp, way.literals if way.literals and not any(DIGIT in k for k, _ in sharp) else frozenset(), bool(rule.flags))
+    literals = way.literals if way.literals and not any(DIGIT in k for k, _ in sharp) else frozenset()
+    own = gram(walk, rule.template) if not literals and not rule.first else ()
+    outlines = Outline(bool(rule.flags)).of([t for t in (rule.template, rule.first) if t])
+    return Needs(None if walk.any else frozenset(walk.takes), () if own else sharp, literals, bool(rule.flags), own, outlines)
 
 
 class Gate:
@@ -205,7 +335,10 @@ class Gate:
         # rules of one demand share their windows, and demands on the same characters share their runs
         self.by_takes: dict = {}
         for k, need in enumerate(self.needs):
-            self.by_takes.setdefault(need.takes, {}).setdefault(need, []).append(k)
+            self.by_takes.setdefault(need.takes, {}).setdefault(replace(need, outlines=()), {}).setdefault(need.outlines, []).append(k)
+        self.outlines = {x: re.compile(x, re.DOTALL) for need in self.needs for x in need.outlines}
+        # where one of these stands for an ASCII letter, a boundary of the folded text is none of the text
+        self.odd = re.compile("[" + "".join(re.escape(chr(c)) for c in np.flatnonzero(self.lower < 128).tolist() if c >= 128) + "]")
         self.literal_sets: dict[tuple, int] = {}
         self.automata = []
         for folded in (False, True):
@@ -223,13 +356,11 @@ class Gate:
                 automaton.make_automaton()
             self.automata.append(automaton if owners else None)
 
-    def literal_places(self, codes: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
+    def literal_places(self, texts: list[str]) -> list[np.ndarray]:
         """For each set of literals, where one begins."""
         places: list[list[int]] = [[] for _ in self.literal_sets]
-        plain = np.where(kinds == SPACE, np.uint32(32), codes)
-        for folded, automaton in enumerate(self.automata):
+        for text, automaton in zip(texts, self.automata, strict=True):
             if automaton is not None:
-                text = (self.lower[plain] if folded else plain).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
                 for end, (size, numbers) in automaton.iter(text):
                     for number in numbers:
                         places[number].append(end + 1 - size)
@@ -239,40 +370,78 @@ class Gate:
         """text, rule, begin, end of the windows in texts that stand one after another with one NUL between; by text, rule, begin."""
         codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = self.alphabet.table[codes]
+        raw = kinds.tobytes()
         present = np.bincount(kinds, minlength=256) > 0
-        literal = self.literal_places(codes, kinds)
+        plain = np.where(kinds == SPACE, np.uint32(32), codes)
+        texts = [x.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass") for x in (plain, self.lower[plain])]
+        literal = self.literal_places(texts)
+        odd = bool(self.odd.search(body))
         where: dict = {}
+        masks: dict = {}
+
+        def mask(classes: frozenset[int]) -> np.ndarray:
+            if classes not in masks:
+                member = bytearray(256)
+                for c in classes:
+                    member[c] = 1
+                masks[classes] = np.frombuffer(raw.translate(bytes(member)), bool)
+            return masks[classes]
+
+        def places_of(key) -> np.ndarray:
+            """Where a character of some classes stands, or characters of several one after another."""
+            if key not in where:
+                size = max(len(kinds) - len(key) + 1, 0) if isinstance(key, tuple) else len(kinds)
+                own = np.ones(size, bool)
+                for k, classes in enumerate(key if isinstance(key, tuple) else [key]):
+                    own &= mask(classes)[k : k + size]
+                where[key] = np.flatnonzero(own)
+            return where[key]
+
+        def holding(breaks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+            """Numbers of the runs, each by the break after it, that hold n of some places."""
+            if len(at) > len(breaks):
+                return np.flatnonzero(np.diff(np.searchsorted(at, breaks)) >= n) + 1
+            run, times = np.unique(np.searchsorted(breaks, at), return_counts=True)
+            return run[times >= n]
+
         found: list[tuple[np.ndarray, np.ndarray, list[int]]] = []
         for takes, demands in self.by_takes.items():
             asked = [need for need in demands if all(any(present[c] for c in k) for k, _ in need.counts) and (not need.literals or len(literal[self.literal_sets[need.literals, need.folded]]))]
+            asked = [need for need in asked if not need.gram or len(places_of(need.gram))]
             if not asked:
                 continue
             if takes is None:
                 breaks = np.append(edges[1:] - 1, len(codes))
                 breaks = np.unique(np.concatenate([edges[:-1] - 1, breaks]))
             else:
-                inside = np.zeros(256, bool)
-                inside[list(takes)] = True
-                breaks = np.concatenate([[-1], np.flatnonzero(~inside[kinds]), [len(codes)]])
+                breaks = np.concatenate([[-1], np.flatnonzero(~mask(takes)), [len(codes)]])
             for need in asked:
                 good = None
-                places = [(where.setdefault(k, np.flatnonzero(np.isin(kinds, list(k)))), n) for k, n in need.counts]
+                places = [(places_of(k), n) for k, n in need.counts]
+                if need.gram:
+                    places.append((places_of(need.gram), 1))
                 if need.literals:
                     places.append((literal[self.literal_sets[need.literals, need.folded]], 1))
                 for at, n in places:
-                    run, times = np.unique(np.searchsorted(breaks, at), return_counts=True)
-                    own = run[times >= n]
+                    own = holding(breaks, at, n)
                     good = own if good is None else np.intersect1d(good, own, assume_unique=True)
                 if good is None:
                     good = np.flatnonzero(np.diff(breaks) > 1) + 1
                 good = good[(good > 0) & (good < len(breaks))]
-                found.append((breaks[good - 1] + 1, breaks[good], demands[need]))
+                begin, end = breaks[good - 1] + 1, breaks[good]
+                # one more character on both sides, of the same text
+                text = np.searchsorted(edges, begin, "right") - 1
+                begin, end = np.maximum(begin - 1, edges[text]), np.minimum(end + 1, edges[text + 1] - 1)
+                for outlines, own in demands[need].items():
+                    pairs = list(zip(begin.tolist(), end.tolist(), strict=True))
+                    for search in [self.outlines[x].search for x in outlines]:
+                        pairs = [(a, b) for a, b in pairs if search(texts[need.folded], a, b) or (odd and need.folded and self.odd.search(body, a, b))]
+                    both = np.array(pairs, np.int64).reshape(-1, 2)
+                    found.append((both[:, 0], both[:, 1], own))
         begin = np.concatenate([np.tile(b, len(k)) for b, _, k in found] or [np.zeros(0, np.int64)])
         end = np.concatenate([np.tile(e, len(k)) for _, e, k in found] or [np.zeros(0, np.int64)])
         rule = np.concatenate([np.repeat(k, len(b)) for b, _, k in found] or [np.zeros(0, np.int64)]).astype(np.int64)
         text = np.searchsorted(edges, begin, "right") - 1
-        # one more character on both sides, of the same text
-        begin, end = np.maximum(begin - 1, edges[text]), np.minimum(end + 1, edges[text + 1] - 1)
         order = np.lexsort((begin, rule, text))
         return text[order], rule[order], begin[order], end[order]
 
