@@ -33,7 +33,7 @@ MOST = 400  # strings of a literal's alternatives
 class Needs:
     """takes: the classes of characters that matches consist of, None for any; counts: (classes, least number) pairs; literals:
     one of these strings, folded if ``folded``; empty where there is no such demand; gram: classes of characters that stand side by
-    side; outlines: patterns each of which is found."""
+    side; outlines: patterns each of which is found; head: the one that a match begins with, if there is one."""
 
     takes: frozenset[int] | None
     counts: tuple[tuple[frozenset[int], int], ...]
@@ -41,6 +41,7 @@ class Needs:
     folded: bool
     gram: tuple[frozenset[int], ...] = ()
     outlines: tuple[str, ...] = ()
+    head: str = ""
 
 
 def fold(c: str) -> str:
@@ -266,6 +267,13 @@ class Outline:
             own, least = edge
         return [*done, (own, least)]
 
+    def head(self, template: str) -> str:
+        """The part that a match begins with; none where a match depends on more than one character before it."""
+        items = tree(template)
+        behind = any(kind in (op.ASSERT, op.ASSERT_NOT) and value[0] < 0 and value[1].getwidth()[1] > 1 for kind, value in items)
+        part, least = self.parts(items)[0]
+        return part if least and not behind else ""
+
     def of(self, templates: list[str]) -> tuple[str, ...]:
         """The longest parts of a template; of several templates, one part of any."""
         best = [sorted((x for x in self.parts(tree(t)) if x[1]), key=lambda x: -x[1]) for t in templates]
@@ -320,7 +328,9 @@ def needs(rule: Rule, alphabet: Alphabet) -> Needs:
     literals = way.literals if way.literals and not any(DIGIT in k for k, _ in sharp) else frozenset()
     own = gram(walk, rule.template) if not literals and not rule.first else ()
     outlines = Outline(bool(rule.flags)).of([t for t in (rule.template, rule.first) if t])
-    return Needs(None if walk.any else frozenset(walk.takes), () if own else sharp, literals, bool(rule.flags), own, outlines)
+    # matches of rules with lead begin before what is kept of them
+    head = "" if rule.lead or rule.first else Outline(bool(rule.flags)).head(rule.template)
+    return Needs(None if walk.any else frozenset(walk.takes), sharp, literals, bool(rule.flags), own, outlines, head if head in outlines else "")
 
 
 class Gate:
@@ -335,7 +345,7 @@ class Gate:
         # rules of one demand share their windows, and demands on the same characters share their runs
         self.by_takes: dict = {}
         for k, need in enumerate(self.needs):
-            self.by_takes.setdefault(need.takes, {}).setdefault(replace(need, outlines=()), {}).setdefault(need.outlines, []).append(k)
+            self.by_takes.setdefault(need.takes, {}).setdefault(replace(need, outlines=(), head=""), {}).setdefault((need.outlines, need.head), []).append(k)
         self.outlines = {x: re.compile(x, re.DOTALL) for need in self.needs for x in need.outlines}
         # where one of these stands for an ASCII letter, a boundary of the folded text is none of the text
         self.odd = re.compile("[" + "".join(re.escape(chr(c)) for c in np.flatnonzero(self.lower < 128).tolist() if c >= 128) + "]")
@@ -417,9 +427,8 @@ class Gate:
                 breaks = np.concatenate([[-1], np.flatnonzero(~mask(takes)), [len(codes)]])
             for need in asked:
                 good = None
-                places = [(places_of(k), n) for k, n in need.counts]
-                if need.gram:
-                    places.append((places_of(need.gram), 1))
+                # a gram says more than counts, which the outlines ask for too
+                places = [(places_of(need.gram), 1)] if need.gram else [(places_of(k), n) for k, n in need.counts]
                 if need.literals:
                     places.append((literal[self.literal_sets[need.literals, need.folded]], 1))
                 for at, n in places:
@@ -432,10 +441,19 @@ class Gate:
                 # one more character on both sides, of the same text
                 text = np.searchsorted(edges, begin, "right") - 1
                 begin, end = np.maximum(begin - 1, edges[text]), np.minimum(end + 1, edges[text + 1] - 1)
-                for outlines, own in demands[need].items():
+                odds = odd and need.folded
+                text = texts[need.folded]
+                for (outlines, head), own in demands[need].items():
                     pairs = list(zip(begin.tolist(), end.tolist(), strict=True))
-                    for search in [self.outlines[x].search for x in outlines]:
-                        pairs = [(a, b) for a, b in pairs if search(texts[need.folded], a, b) or (odd and need.folded and self.odd.search(body, a, b))]
+                    # the head last, as what comes before it and the character that it sees is left out
+                    for outline in sorted(outlines, key=lambda x: x == head):
+                        search = self.outlines[outline].search
+                        if outline == head:
+                            own_odd = {a for a, b in pairs if self.odd.search(body, a, b)} if odds else ()
+                            hits = [(a, b, None if a in own_odd else search(text, a, b)) for a, b in pairs]
+                            pairs = [(max(a, hit.start() - 1) if hit else a, b) for a, b, hit in hits if hit or a in own_odd]
+                        else:
+                            pairs = [(a, b) for a, b in pairs if search(text, a, b) or (odds and self.odd.search(body, a, b))]
                     both = np.array(pairs, np.int64).reshape(-1, 2)
                     found.append((both[:, 0], both[:, 1], own))
         begin = np.concatenate([np.tile(b, len(k)) for b, _, k in found] or [np.zeros(0, np.int64)])

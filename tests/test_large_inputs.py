@@ -1,5 +1,6 @@
 """Results where keys, texts or batches are larger than in the test tables."""
 
+import time
 from dataclasses import replace
 
 import duckdb
@@ -94,3 +95,32 @@ def test_letters_that_fold_to_ascii_and_marks_change_no_span(spark):
     of = lambda gated: {r["k"]: [tuple(s) for s in r["s"]] for r in docs.select("k", S.scan(F.col("text"), which, gated).alias("s")).collect()}
     got = of(True)
     assert got == of(False) and sum(map(len, got.values())) > 10
+
+
+def test_windows_begin_where_a_match_may_begin():
+    text = "long prose before it, " * 200 + "at Rua Augusta Nova 5"
+    which = rules.named("pt:street")
+    doc, rule, begin, end = needs.gate(which).windows(text + "\0", np.array([0, len(text) + 1]))
+    assert len(begin) == 1 and text[begin[0] : end[0]] == " Rua Augusta Nova 5"
+
+
+def test_redaction_of_many_spans_reads_a_text_in_blocks(spark):
+    n = 30_000
+    docs = spark.createDataFrame([(0, "é ab " * 10 * n), (1, "ab"), (2, "x ab ab y")], "k int, text string")
+    one = lambda at: F.struct(at.cast("int").alias("start"), (at + 2).cast("int").alias("end"), F.lit("OTHER").alias("type"), F.lit("ab").alias("value"), F.lit(0.9).cast("double").alias("confidence"), F.lit("d").alias("detector"), F.lit(0).cast("int").alias("ord"))
+    spans = F.when(F.col("k") == 0, F.transform(F.reverse(F.sequence(F.lit(0), F.lit(n - 1))), lambda i: one(i * 50 + 2))).when(F.col("k") == 1, F.array(one(F.lit(0)))).otherwise(F.array(one(F.lit(2)), one(F.lit(5))))
+    entries = F.array(F.struct(F.lit(1).cast("int").alias("ord"), F.lit("ab").alias("original"), F.lit("<<1>>").alias("placeholder"), F.lit("OTHER").alias("entity_type")))
+    begin = time.time()
+    got = {r["k"]: r["r"] for r in docs.select("k", S.redact(F.col("text"), spans, entries).alias("r")).collect()}
+    assert got == {0: ("é <<1>> " + "é ab " * 9) * n, 1: "<<1>>", 2: "x <<1>> <<1>> y"} and time.time() - begin < 12
+
+
+@pytest.mark.parametrize(("name", "table", "rows"), [("scan_pages_by_catalogue", "pages", "page_id long, url string, html string"), ("redact_by_catalogue", "documents", "doc_id long, url string, text string")])
+def test_scans_by_the_whole_catalogue_are_dealt_out_by_bytes(spark, tmp_path, monkeypatch, name, table, rows):
+    # as many files as there are cores, which were one task each
+    spark.createDataFrame([(k, "", f"mail a{k}@example.com") for k in range(64)], rows).repartition(8).write.parquet(f"{tmp_path}/{table}.parquet")
+    size = sum(x.stat().st_size for x in (tmp_path / f"{table}.parquet").glob("*.parquet"))
+    monkeypatch.setattr(catalogue, "SHARE", 500, raising=False)
+    df = catalogue.queries()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {-(-size // 500)}, true" in plan
