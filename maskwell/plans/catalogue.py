@@ -55,6 +55,8 @@ LETTER = "concat(" + ", ".join([
     "'; '", f"{_K} % 900 + 1", "' North Main Street; Big Deal, Inc; GB29 NWBK 6016 1331 '", _pad(9268, 4), "' '", _pad(19, 2), "'; 4532 0151 1283 '", _pad(366, 4), "'; $1,'", _pad(234, 3), "'.50; 1 '", _pad(500, 3), "' EUR; 10.0.'", f"{_K} % 300", "'.1; 2001:db8:0:0:0:0:0:'", _pad(1, 3), "'; 00:1b:44:11:3a:'", _pad(7, 2),
     "'; 03.04.'", _pad(1999, 4), "'; 2024-05-'", _pad(7, 2), "'; 7 March '", _pad(2001, 4), "'; March 7, '", _pad(2001, 4), "'; mail a'", _K, "'@example.com or +44 20 7946 '", _pad(958, 4), "'.'",
 ]) + ")"
+# bytes of a table's files that are one task's to scan by the whole catalogue
+SHARE = 4 << 20
 LETTERS = f"SELECT c_custkey AS doc_id, {LETTER} AS text FROM customer"
 
 
@@ -74,11 +76,16 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select(F.col("c_custkey").alias("doc_id"), F.expr(f"element_at(transform(array(struct(c_custkey, c_name)), k -> {own}), 1)").alias("text"))
 
 
-def spread(docs: DataFrame) -> DataFrame:
+def spread(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Rows dealt out where the files have fewer splits than there are cores: a scan takes far more time than moving
-    its texts. A large table has more splits, and nothing is moved."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(4 * cores)
+    its texts. A large table has more splits, and nothing is moved; but with a path to the table's files, for scans by the whole
+    catalogue, there is a partition at least for each 4 MB of them, as a row group of 128 MB would be one task of half an hour."""
+    cores, splits = docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()
+    least = 4 * cores if splits < cores else 0
+    if path:
+        size = docs.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+        least = max(least, -(-size // SHARE))
+    return docs.repartition(least) if splits < least else docs
 
 
 def query(oracle: str | None = None, name: str = ""):
@@ -123,7 +130,7 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scan_pages_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text")))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit(" ")).alias("text")), f"{sf_dir}/pages.parquet")
     return corpus.exploded(pages.withColumn("spans", S.scan(F.col("text"), rules.RULES)), "page_id").select("page_id", "detector", "start", "end", "value")
 
 
@@ -211,7 +218,8 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Both passes by the whole catalogue; RE2 lacks look-around and DuckDB takes too long for so many rules: no oracle, tests by brute force
 @query()
 def redact_by_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.redacted(corpus.detected(texts(spark, sf_dir)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = corpus.redacted(corpus.detected(spread(rows, f"{sf_dir}/documents.parquet")))
     return docs.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
