@@ -261,6 +261,44 @@ def test_repeats_against_brute_force(spark):
         assert got == want
 
 
+def test_stretches_leave_a_batch_by_parts(monkeypatch):
+    """What a task holds doesn't grow with its batch; every place is in one row, with all copies of its text."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import zstandard
+
+    monkeypatch.setattr(suffix_dedup, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    run = suffix_dedup.stretches(SimpleNamespace(mapInArrow=lambda f, schema: f), 400)
+    rng = random.Random(2)
+    texts = [rng.randbytes(8000) for _ in range(2600)]
+    texts[7] = texts[2500] = texts[5]
+    found = [[{"low": k * 500, "high": k * 500 + 100, "anchor": k % 3} for k in range(15)]] * len(texts)
+    docs = [b"%d" % k for k in range(len(texts))]
+    copies = [1 + k % 4 for k in range(len(texts))]
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int64())])))
+    columns = (docs, [zstandard.compress(x) for x in texts], copies, found)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["doc", "raw", "copies", "found"])
+    places, ids, largest = [], [], 0
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        largest = max(largest, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        for r in out.to_pylist():
+            assert r["number"] == sum(copies[int(d)] for d in r["docs"])
+            body = zstandard.decompress(r["body"])
+            assert all(texts[int(d)][low : low + 500] == body and low // 500 % 3 == r["anchor"] for d, low in zip(r["docs"], r["lows"], strict=True))
+            places += zip(r["docs"], r["lows"], strict=True)
+            ids.append(r["stretch"])
+        tracemalloc.start()
+    tracemalloc.stop()
+    assert sorted(places) == sorted((d, 500 * k) for d in docs for k in range(15))
+    assert len(set(ids)) == len(ids) and min(ids) == 3 << 40
+    assert 15 * (len(texts) - 2) <= len(ids) <= 15 * len(texts)
+    assert largest < 20_000_000, largest
+
+
 def test_texts_beyond_a_slice(spark):
     """A text of more bytes than a task takes at a time is a slice of its own."""
     from maskwell.llm import minhash, textkit
