@@ -5,7 +5,8 @@ list arrays of ids. Flattened, with the parent index of each element as its docu
 up within documents; the two tables of token ends meet in a hash join on (document, end). The joined rows are the links and
 cut both sides into groups. A slice counts its pairs of ids by a group-by; Spark adds these partial counts up, finds the
 highest of each B id, and sends the counts back to the slices that asked, where they are joined to the documents' pairs.
-A pair that every document holds is one row a slice at most.
+A pair that every document holds is one row a slice at most. Stored slices are read by TOGETHER, so a task's memory doesn't
+depend on how many it has.
 
 Defined results: null and empty texts, and those whose joined bytes of A or B differ from the space and the text (a literal
 U+2581, say), have no tokens; special strings in texts are plain text; repeated rows are aligned each, and each counts; an
@@ -41,8 +42,8 @@ ARROW_PARTS = pa.schema(
     + [(c, pa.list_(pa.int64())) for c in ("pairs", "counts")]
 )
 ARROW_OUT = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
-CACHE_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
-EMPTY, SPACE, COMMA, BAR, SEMICOLON = (pa.scalar(x, pa.large_string()) for x in ("", " ", ",", "|", ";"))
+CACHE_BYTES, SLICE_BYTES, TOGETHER = 32 << 20, 1 << 20, 4
+COMMA, BAR, SEMICOLON = (pa.scalar(x, pa.large_string()) for x in (",", "|", ";"))
 
 
 class Vocabulary:
@@ -165,6 +166,12 @@ def aligned(buf: np.ndarray, off: np.ndarray, a: Side, b: Side) -> dict:
     }
 
 
+def spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with a space before each that isn't empty, and their offsets."""
+    some = np.diff(off) > 0
+    return np.insert(buf, off[:-1][some], 32), off + np.concatenate([[0], np.cumsum(some)])
+
+
 def parts(docs: DataFrame, vocabulary: str, ranks: str, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each slice of documents; its number is the task's and the slice's in it."""
 
@@ -172,10 +179,8 @@ def parts(docs: DataFrame, vocabulary: str, ranks: str, model: str, key: str = "
         a, b = byte_side(vocabulary, ranks), piece_side(model)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            body = pc.fill_null(batch.column(1).cast(pa.large_string()), EMPTY)
-            body = pc.if_else(pc.equal(body, EMPTY), EMPTY, pc.binary_join_element_wise(SPACE, body, EMPTY))
-            for row, end, buf, off in textkit.slices(body, SLICE_BYTES):
-                made = {"block": block, "ids": batch.column(0)[row:end]} | aligned(buf, off, a, b)
+            for row, end, buf, off in textkit.slices(batch.column(1), SLICE_BYTES):
+                made = {"block": block, "ids": batch.column(0)[row:end]} | aligned(*spaced(buf, off), a, b)
                 yield pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) if f.name == "block" else one_list(made[f.name], f.type) for f in ARROW_PARTS], schema=ARROW_PARTS)
                 block += 1
                 del made
@@ -220,7 +225,7 @@ def alignment(docs: DataFrame, vocabulary: str, ranks: str, model: str, key: str
 
     Token ends within a text are all different, so every group of tokens ends with its one link.
     """
-    slices = stored(parts(docs, vocabulary, ranks, model, key, text), "alignment")
+    slices = stored(parts(docs, vocabulary, ranks, model, key, text), "alignment", TOGETHER)
     asked = slices.select(F.col("block").alias("slice"), F.explode("pairs").alias("pair"))
     found = asked.join(pair_counts(slices), "pair").select("slice", "pair", "n", "best")
     own = slices.drop("pairs", "counts")

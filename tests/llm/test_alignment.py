@@ -83,3 +83,29 @@ def test_a_text_beyond_a_slice(spark):
     text = "the quick brown fox's 42 jumps " * (textkit.SLICE_BYTES // 31 + 100)
     docs = spark.createDataFrame([(1, text), (2, "the fox")], "doc_id long, text string")
     assert got(docs) == by_library([(1, text), (2, "the fox")])
+
+
+def test_slices_are_stored_and_read_a_few_at_a_time(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from maskwell.llm import common
+
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 300)
+    rows = [(k, t) for k, (_, t) in enumerate(texts(150, seed=7))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == by_library(rows)
+    (file,) = glob.glob(f"{common._stored[-1].removeprefix('file://')}/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    groups = [meta.row_group(k).num_rows for k in range(meta.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= 4, groups
+
+
+def test_a_space_before_each_text_that_is_not_empty():
+    import numpy as np
+
+    rows = [b"", b"ab", b"", b" c", b"\xc3\xa9", b""]
+    off = np.cumsum([0, *map(len, rows)])
+    buf, off = alignment.spaced(np.frombuffer(b"".join(rows), np.uint8), off)
+    assert [buf[a:b].tobytes() for a, b in zip(off, off[1:], strict=False)] == [b"", b" ab", b"", b"  c", b" \xc3\xa9", b""]
+    assert [x.tolist() for x in alignment.spaced(np.zeros(0, np.uint8), np.zeros(3, np.int64))] == [[], [0, 0, 0]]
